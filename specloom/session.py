@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of `df`."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -55,11 +55,10 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
-def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
-    """Spread rows that feed a Python stage evenly over the cluster, whatever the file layout.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that feed a CPU-bound Python stage, dealt out again only if the input has fewer splits than the cluster has cores.
 
-    A few large input splits would leave most cores idle in a CPU-bound stage; rows are dealt out by a hash of `keys`.
+    Large inputs come in many splits and are not exchanged; a small table in one file would otherwise keep one core busy.
     """
-    spark = df.sparkSession
-    n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
