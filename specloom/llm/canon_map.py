@@ -125,7 +125,7 @@ def map_models(entries: DataFrame, canon: DataFrame, id_col: str = "entry_id", m
 
 
 def _fold(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, "’İ", "'i")), r"(?U)[\s 　]+", " "), r"^[ .'\"]+|[ .'\"?]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, "’İ", "'i")), r"(?U)\s+", " "), r"^[ .'\"]+|[ .'\"?]+$", "")
 
 
 def map_regions(values: DataFrame, canon: DataFrame, id_col: str = "rec_id", value_col: str = "region", accept: float = 0.72) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specloom.functions.text import col
 
 #: full-width forms U+FF01..U+FF5E and their plain ones, by rule; then dashes, quotes and blanks of any kind
-_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "‐‑‒–—―−" + "“”„‟«»‘’" + "  　\t\n\r"
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "‐‑‒–—―−" + "“”„‟«»" + "‘’" + "  　\t\n\r"
 _PLAIN = "".join(chr(0x21 + i) for i in range(94)) + "-------" + '""""""' + "''" + "      "
 _LEGAL = r"\b(?:CO|LTD|CORP|CORPORATION|INC|GMBH|AG|S\.?A|N\.?V|B\.?V|PLC|LLC|COMPANY|ELECTRONICS?|COMPUTERS?|INDUSTRIES|INDUSTRY|BRAND)\b\.?"
 
