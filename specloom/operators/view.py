@@ -72,7 +72,7 @@ def gaps(df: DataFrame, hidden: Column, order: str, key: str = "id", partition:
     else:
         walked = running_count(flagged, ~F.col("_hid"), order, "row_number")
     visible = walked.where("not _hid").drop("_hid")
-    runs = walked.where("_hid").groupBy(*partition, F.col("row_number").alias("after_row")).agg(F.count("*").alias("n_hidden"), F.transform(F.array_sort(F.collect_list(F.struct(order, key))), lambda s: s[key]).alias("hidden_ids"))
+    runs = walked.where("_hid").groupBy(*partition, F.col("row_number").alias("after_row")).agg(F.count("*").alias("n_hidden"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k")))), lambda s: s["k"]).alias("hidden_ids"))
     return visible, runs
 
 
