@@ -28,7 +28,7 @@ AGREEMENT = 0.6
 #: Linked records below which the names must speak for a rename instead.
 EVIDENCE = 2
 #: Name similarity that suffices where no linked record holds both fields.
-NAME_ALONE = 0.75
+NAME_ALONE = 0.85
 
 CELLS = "file_id long, line_id long, rec long, key string, kind string, value string"
 

@@ -77,6 +77,6 @@ def payload(df: DataFrame, catalog: Catalog, tips: dict[str, str], generated: st
     return json.dumps(doc, ensure_ascii=False)
 
 
-def write_payload(path: str | Path, text: str, variable: str = "window.MSX_DATA") -> None:
+def write_payload(path: str | Path, text: str, variable: str = "window.CATALOG_DATA") -> None:
     """A script that sets one variable, replaced at once."""
     write_atomic(path, f"// Generated file\n// Do not edit\n{variable} = {text};\n")
