@@ -61,8 +61,8 @@ class ItemIndex:
         pairs = [Counter(zip(c, c[1:])) for c in coded]
         df = Counter(p for c in pairs for p in c)
         n, mean = len(items), max(1.0, sum(map(len, coded)) / max(1, len(items)))
-        #: per item: sentences as (words, distinct pairs, edits allowed)
-        self.sentences: list[list[tuple[list[int], frozenset, int]]] = []
+        #: per item: sentences as (words, distinct pairs, edits allowed, places of each word)
+        self.sentences: list[list[tuple[list[int], frozenset, int, dict[int, int]]]] = []
         self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.runs: dict[tuple[int, ...], list[int]] = {}
         longest = max([ideo_run, run])
@@ -75,7 +75,10 @@ class ItemIndex:
                     continue
                 e = int(len(s) * edits)
                 distinct = frozenset(zip(s, s[1:]))
-                own.append((s, distinct, e))
+                masks: dict[int, int] = {}
+                for i, w in enumerate(s):
+                    masks[w] = masks.get(w, 0) | 1 << i
+                own.append((s, distinct, e, masks))
                 kept = sorted(weight.get(p, 0.0) for p in distinct)[: max(0, len(distinct) - 2 * e)]
                 bounds.append(sum(kept))
                 longest = max(longest, len(s) + e)
@@ -181,30 +184,43 @@ class ItemIndex:
                     found |= hit
                     left -= hit
         for k in left:
-            for s, distinct, e in self.sentences[k]:
-                if len(distinct & terms) >= len(distinct) - 2 * e and within(s, ids, distinct, part, e):
+            for s, distinct, e, masks in self.sentences[k]:
+                need = len(distinct) - 2 * e
+                if len(distinct & terms) >= need and within(len(s), masks, ids, [i for i, p in enumerate(part) if p in distinct], need, e):
                     found.add(k)
                     break
 
 
-def within(sentence: list[int], ids: list[int], distinct: frozenset, part: list, limit: int) -> bool:
-    """Is the sentence somewhere in `ids` with at most `limit` words changed, dropped or added?"""
-    at = [i for i, p in enumerate(part) if p in distinct]
-    m = len(sentence)
-    lo, hi = max(0, at[0] - m - limit), min(len(ids), at[-1] + 2 + m + limit)
-    row = list(range(m + 1))
+def within(m: int, masks: dict[int, int], ids: list[int], at: list[int], need: int, limit: int) -> bool:
+    """Is a sentence of `m` words somewhere in `ids` with at most `limit` words changed, dropped or added?
+
+    `masks`: word -> bits of its places in the sentence; `at`: where `ids` has one of the sentence's word pairs. At least
+    `need` of these must lie within the length of a match; around such places the bit-parallel distance is run, which takes
+    one step per word of text whatever the sentence's length.
+    """
+    need = max(1, need)
+    close = [k for k in range(len(at) - need + 1) if at[k + need - 1] - at[k] <= m + limit]
+    if not close:
+        return False
+    lo, hi = max(0, at[close[0]] - m - limit), min(len(ids), at[close[-1] + need - 1] + 2 + m + limit)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    get = masks.get
     for x in ids[lo:hi]:
-        diag, row[0] = row[0], 0
-        for j in range(1, m + 1):
-            up = row[j]
-            best = diag + (sentence[j - 1] != x)
-            if up + 1 < best:
-                best = up + 1
-            if row[j - 1] + 1 < best:
-                best = row[j - 1] + 1
-            diag, row[j] = up, best
-        if row[m] <= limit:
-            return True
+        eq = get(x, 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        ph = minus | (full & ~(xh | plus))
+        mh = plus & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score <= limit:
+                return True
+        ph <<= 1
+        plus = ((mh << 1) | ~(xv | ph)) & full
+        minus = ph & xv & full
     return False
 
 
