@@ -8,6 +8,7 @@ nothing. Letters of scripts without blanks are words of their own.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -40,15 +41,21 @@ def words(text: str) -> list[str]:
     return _WORD.findall(t)
 
 
+def sentence_key(ws: list[str]) -> int:
+    """64-bit key of a sentence's words."""
+    return int.from_bytes(hashlib.blake2b(" ".join(ws).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class ItemIndex:
     """The inverted index of a block of items, small enough to be broadcast.
 
     run, ideo_run: consecutive words (or letters of scripts without blanks) that count as a leak; edits: share of a
     sentence's words that may differ. Sentences shorter than `run` that several items share (instructions, stock questions)
-    give none of them away and are left out. k1, b: BM25.
+    give none of them away and are left out. `shared`: keys of the sentences that several items share, of all blocks; by
+    default they are counted among `items`. k1, b: BM25.
     """
 
-    def __init__(self, items: list[tuple[int, str]], run: int = 12, ideo_run: int = 30, edits: float = 0.25, k1: float = 1.2, b: float = 0.75, block: int = 64):
+    def __init__(self, items: list[tuple[int, str]], run: int = 12, ideo_run: int = 30, edits: float = 0.25, k1: float = 1.2, b: float = 0.75, block: int = 64, shared: set[int] | None = None):
         self.ids = [i for i, _ in items]
         self.block = block
         texts = [words(t or "") for _, t in items]
@@ -56,8 +63,11 @@ class ItemIndex:
         coded = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws] for ws in texts]
         ideo = [len(_IDEO.findall(t or "")) * 2 > len("".join(ws)) for (_, t), ws in zip(items, texts, strict=True)]
         self.run = [ideo_run if x else run for x in ideo]
-        sents = [[[self.vocabulary[w] for w in words(t[a:e])] for a, e in sentence_spans(t)] for _, t in items]
-        shared = Counter(s for own in sents for s in {tuple(x) for x in own})
+        texts_of = [[words(t[a:e]) for a, e in sentence_spans(t)] for _, t in items]
+        keys = [[sentence_key(s) for s in own] for own in texts_of]
+        if shared is None:
+            shared = {k for k, n in Counter(k for own in keys for k in set(own)).items() if n > 1}
+        sents = [[[self.vocabulary[w] for w in s] for s in own] for own in texts_of]
         pairs = [Counter(zip(c, c[1:])) for c in coded]
         df = Counter(p for c in pairs for p in c)
         n, mean = len(items), max(1.0, sum(map(len, coded)) / max(1, len(items)))
@@ -70,8 +80,8 @@ class ItemIndex:
             norm = k1 * (1 - b + b * len(c) / mean)
             weight = {p: math.log(1 + (n - df[p] + 0.5) / (df[p] + 0.5)) * f * (k1 + 1) / (f + norm) for p, f in pairs[k].items()}
             own, bounds = [], []
-            for s in sents[k]:
-                if len(s) < 2 or (len(s) < self.run[k] and shared[tuple(s)] > 1):
+            for s, at_key in zip(sents[k], keys[k], strict=True):
+                if len(s) < 2 or (len(s) < self.run[k] and at_key in shared):
                     continue
                 e = int(len(s) * edits)
                 distinct = frozenset(zip(s, s[1:]))
@@ -236,16 +246,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
     blocks = max(1, math.ceil(n / block_items))
     own = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
     rows = spread(docs.select(F.col(doc_id).alias("d"), F.col(text_col).alias("t")))
+
+    def sentence_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, k = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {sentence_key(words(text[a:e])) for a, e in sentence_spans(text)}
+                i += [item] * len(own)
+                k += own
+            yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(0).type), pa.array(k, pa.int64())], names=["i", "k"])
+
+    keyed = own.mapInArrow(sentence_keys, f"i {items.schema[item_id].dataType.simpleString()}, k long")
+    stock = keyed.join(keyed.groupBy("k").agg(F.count_distinct("i").alias("n")).where("n > 1"), "k")
     d_type, i_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     out = None
     for k in range(blocks):
         held = own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i").collect()
-        shared = spark.sparkContext.broadcast([(r.i, r.t) for r in held])
+        common = {r.k for r in stock.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).select("k").distinct().collect()}
+        shared = spark.sparkContext.broadcast(([(r.i, r.t) for r in held], common))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             at: ItemIndex | None = None
             for batch in batches:
-                at = at or ItemIndex(shared.value, **index)
+                at = at or ItemIndex(shared.value[0], shared=shared.value[1], **index)
                 d, i = [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     hit = sorted(at.leaks(text.as_py()))
