@@ -14,7 +14,7 @@ from specloom.operators import publish, registry, rules
 from specloom.operators.catalog import machine_catalog
 from specloom.operators.registry import write_atomic
 from specloom.plans.pipeline import Inputs, build
-from specloom.session import local_session
+from specloom.session import local_session, ship
 from specloom.sources import files, machines, pages
 
 RIGHT = "manufacturer string, model string, generation string, standard string, msxorg_title string, year int, region string, main_ram_kb int, vram_kb int, vdp string, psg string, audio_channels int, fm_chip string, floppy_drives string, scraped_cart_slots int, cartridge_slots int, engine string, keyboard_layout string, tape_interface string, connectivity string"
@@ -52,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         q.add_argument("--excludes", default="")
     a = p.parse_args(argv)
     spark = local_session()
+    ship(spark)
     if a.cmd in ("fetch-openmsx", "fetch-msxorg"):
         ex = rules.Excludes.load(a.excludes) if a.excludes else rules.Excludes([])
         xml = a.cmd == "fetch-openmsx"
