@@ -246,7 +246,9 @@ def renames(cells: DataFrame, schemas: DataFrame, pairs: DataFrame) -> DataFrame
                     new[r.a] = list(r.new_kinds)
         return pd.DataFrame([(pdf.file_id.iloc[0], a, b) for a, b in match_fields(old, new, seen)], columns=["file_id", "old_field", "new_field"])
 
-    return graph.groupBy("file_id").applyInPandas(select, "file_id long, old_field string, new_field string")
+    # few bytes but much work a row: the exchange must not be merged into a few partitions by size
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return graph.repartition(n, "file_id").groupBy("file_id").applyInPandas(select, "file_id long, old_field string, new_field string")
 
 
 def changes(files: DataFrame, lines: DataFrame) -> DataFrame:
