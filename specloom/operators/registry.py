@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from specloom.session import cut
+
 SCHEMA = "nk string, id int, retired boolean"
 LAST = 65535
 
@@ -35,22 +37,19 @@ def assign(registry: DataFrame, keys: DataFrame, limit: int = LAST) -> DataFrame
     ranks. Null keys get none. OverflowError beyond `limit`.
     """
     new = keys.select("nk").where("nk is not null").distinct().join(registry.select("nk"), "nk", "left_anti")
-    ranged = new.repartitionByRange("nk").sortWithinPartitions("nk").withColumn("part", F.spark_partition_id()).persist()
-    try:
-        sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per partition
-        top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-        if top + sum(sizes.values()) > limit:
-            raise OverflowError(f"{top + sum(sizes.values())} ids are more than {limit}")
-        at, starts = top, []
-        for part in sorted(sizes):
-            starts.append((part, at))
-            at += sizes[part]
-        shift = registry.sparkSession.createDataFrame(starts, "part int, start int")
-        ranked = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("nk"))).join(F.broadcast(shift), "part")
-        rows = ranked.select("nk", (F.col("start") + F.col("r")).cast("int").alias("id"), F.lit(False).alias("retired"))
-        return registry.unionByName(rows)
-    finally:
-        ranged.unpersist()
+    ranged = cut(new.repartitionByRange("nk").sortWithinPartitions("nk").withColumn("part", F.spark_partition_id()))
+    sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
+    if top + sum(sizes.values()) > limit:
+        raise OverflowError(f"{top + sum(sizes.values())} ids are more than {limit}")
+    at, starts = top, []
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    shift = registry.sparkSession.createDataFrame(starts, "part int, start int")
+    ranked = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("nk"))).join(F.broadcast(shift), "part")
+    rows = ranked.select("nk", (F.col("start") + F.col("r")).cast("int").alias("id"), F.lit(False).alias("retired"))
+    return registry.unionByName(rows)
 
 
 def retire(registry: DataFrame, keys: DataFrame) -> DataFrame:

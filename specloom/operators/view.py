@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from specloom.functions.codec import ViewState
 from specloom.functions.text import comma_list, display_text
 from specloom.operators.catalog import Catalog, Field
+from specloom.session import cut
 
 
 def matches(text: Column, expression: str) -> Column:
@@ -45,9 +46,10 @@ def with_rank(df: DataFrame, keys: list[Column], name: str = "pos") -> DataFrame
     """Position of each row in a total order, without one task for all rows.
 
     A range exchange splits the order, each partition is numbered on its own and shifted by the sizes before it; the only
-    thing that reaches the driver is one count per partition.
+    thing that reaches the driver is one count per partition. The order is written out first: partitions made anew after a loss
+    might otherwise be cut elsewhere than those that were counted.
     """
-    ordered = df.orderBy(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).persist()
+    ordered = cut(df.orderBy(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     sizes = {r._part: r.n for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     at, starts = 0, []
     for part in sorted(sizes):
