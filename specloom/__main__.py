@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.operators import merge as mg
-from specloom.operators import publish, registry, rules
+from specloom.operators import publish, registry, rules, slots
 from specloom.operators.catalog import machine_catalog
 from specloom.operators.registry import write_atomic
-from specloom.plans.pipeline import Inputs, build
+from specloom.plans.pipeline import Inputs, build, renumbered
 from specloom.session import local_session, ship
 from specloom.sources import files, machines, pages
 
-RIGHT = "manufacturer string, model string, generation string, standard string, msxorg_title string, year int, region string, main_ram_kb int, vram_kb int, vdp string, psg string, audio_channels int, fm_chip string, floppy_drives string, scraped_cart_slots int, cartridge_slots int, engine string, keyboard_layout string, tape_interface string, connectivity string"
-LEFT = machines.FACTS.replace("doc string, ", "").replace(", error string", "") + ", standard string, cartridge_slots int, character_set string, keyboard_type string"
+SLOTMAP = ", ".join(f"{slots.slot_column(*c)} string" for c in slots.SLOT_COLUMNS)
+RIGHT = "manufacturer string, model string, generation string, standard string, msxorg_title string, year int, region string, main_ram_kb int, vram_kb int, vdp string, psg string, audio_channels int, fm_chip string, floppy_drives string, scraped_cart_slots int, cartridge_slots int, engine string, keyboard_layout string, tape_interface string, connectivity string, " + SLOTMAP
+LEFT = machines.FACTS.replace("doc string, ", "").replace(", error string", "") + ", standard string, cartridge_slots int, character_set string, keyboard_type string, " + SLOTMAP
+#: a local supplement may hold any field of either source
+LOCAL = ", ".join(dict.fromkeys([*LEFT.split(", "), *RIGHT.split(", "), "himem_addr string"]))
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -69,12 +72,12 @@ def main(argv: list[str] | None = None) -> int:
     res = rules.load_resolutions(spark, a.resolutions) if a.resolutions else None
     if a.cmd == "merge":
         merged, conflicts = mg.merge(mg.normalise(mg.migrate(left)), mg.normalise(mg.migrate(right)), resolutions=res)
-        _write(merged.orderBy("nk"), a.output)
+        _write(renumbered(merged).orderBy("nk"), a.output)
         if a.conflicts:
             rows = [{"natural_key": r.nk, "field": r.field, "openmsx_value": r.left_value, "msxorg_value": r.right_value, "use": "openmsx"} for r in conflicts.orderBy("nk", "field").toLocalIterator()]
             write_atomic(a.conflicts, json.dumps(rows, indent=2, ensure_ascii=False))
         return 0
-    local = _ordered(files.records(spark, a.local, LEFT + ", himem_addr string", required=False)) if a.local else None
+    local = _ordered(files.records(spark, a.local, LOCAL, required=False)) if a.local else None
     lut = rules.load_lut(a.lut) if a.lut else []
     built = build(
         Inputs(

@@ -68,6 +68,15 @@ TEXT_PATTERNS = (
 )
 
 
+def renumbered(merged: DataFrame) -> DataFrame:
+    """Merged records with the cartridge and expansion slots of their slot maps numbered anew."""
+    have = [c for c in merged.columns if c.startswith("slotmap_")]
+    if not have:
+        return merged
+    wide = slots.widen(slots.renumber(slots.lengthen(merged.select("nk", *have))))
+    return merged.drop(*have).join(wide, "nk", "left")
+
+
 def build(inp: Inputs, catalog: Catalog | None = None) -> Built:
     """Records ready to publish: `id`, `nk`, `links` and the active columns; conflicts; the grown registry; dead rules.
 
@@ -79,11 +88,7 @@ def build(inp: Inputs, catalog: Catalog | None = None) -> Built:
     left, right = mg.migrate(inp.left), mg.migrate(inp.right)
     dead = ex.dead(left.select("manufacturer", "model").unionByName(right.select("manufacturer", "model"))) if ex.rules else []
     merged, conflicts = mg.merge(ready(ex.keep(left)), ready(ex.keep(right)), ready(inp.local) if inp.local is not None else None, inp.resolutions)
-    have = [c for c in merged.columns if c.startswith("slotmap_")]
-    if have:
-        wide = slots.widen(slots.renumber(slots.lengthen(merged.select("nk", *have))))
-        merged = merged.drop(*have).join(wide, "nk", "left")
-    out = cat.derive(rules.substitute(merged, inp.substitutions or {}))
+    out = cat.derive(rules.substitute(renumbered(merged), inp.substitutions or {}))
     out = out.withColumn("nk", natural_key())
     reg = registry.assign(inp.registry, out.select("nk"))
     for c in ("msxorg_title", "openmsx_id"):

@@ -77,6 +77,25 @@ def test_build_is_idempotent_and_cli(spark, tmp_path):
     assert [c["field"] for c in json.loads((tmp_path / "c.json").read_text())] == ["manufacturer", "model", "year"]
 
 
+def test_cli_keeps_slot_maps_and_all_local_fields(spark, tmp_path):
+    left = [{"manufacturer": "Acme", "model": "X1", "scraped_cart_slots": 9, "slotmap_0_0_0": "MAIN", "slotmap_1_0_0": "CS7", "slotmap_2_0_0": "⌴", "slotmap_3_3_3": "RAM"}]
+    right = [{"manufacturer": "Acme", "model": "X1", "engine": "T9769", "msxorg_title": "Old", "slotmap_0_0_0": "SUB", "slotmap_2_0_0": "ES4"}]
+    local = [{"manufacturer": "Acme", "model": "X1", "engine": "S1985", "msxorg_title": "New", "slotmap_3_3_3": "MM", "himem_addr": "0xF380"}]
+    for name, rows in (("l", left), ("r", right), ("own", local)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+    src = ["--openmsx", str(tmp_path / "l.json"), "--msxorg", str(tmp_path / "r.json")]
+    assert main(["build", *src, "--local", str(tmp_path / "own.json"), "--wiki-base", "w/", "-o", str(tmp_path / "out.js")]) == 0
+    text = (tmp_path / "out.js").read_text()
+    doc = json.loads(text[text.index("{") : text.rindex("}") + 1])
+    row = dict(zip([c["key"] for c in doc["columns"]], doc["models"][0]["values"], strict=True))
+    assert [row[f"slotmap_{c}"] for c in ("0_0_0", "1_0_0", "2_0_0", "3_3_3", "3_0_0")] == ["MAIN", "CS1", "ES1", "MM", None]
+    assert (row["cartridge_slots"], row["expansion_slots"], row["engine"], row["himem_addr"]) == (1, 1, "S1985", "0xF380") and doc["models"][0]["links"]["model"] == "w/New"
+    assert main(["merge", *src, "-o", str(tmp_path / "m.json"), "--conflicts", str(tmp_path / "c.json")]) == 0
+    got = json.loads((tmp_path / "m.json").read_text())[0]
+    assert (got["slotmap_1_0_0"], got["slotmap_2_0_0"], got["slotmap_3_3_3"]) == ("CS1", "ES1", "RAM")
+    assert [(c["field"], c["openmsx_value"], c["msxorg_value"]) for c in json.loads((tmp_path / "c.json").read_text())] == [("slotmap_0_0_0", "MAIN", "SUB")]
+
+
 def test_dead_rules_and_substituted_keys(spark):
     df = spark.createDataFrame([("None", "X", 1), ("A", "Y", 2)], "manufacturer string, model string, ord long")
     inp = pipeline.Inputs(df, df.limit(0), spark.createDataFrame([], registry.SCHEMA), substitutions={"manufacturer": [("(?i)^none$", None)]}, excludes=rules.Excludes([{"manufacturer": "B", "model": "*"}]))
