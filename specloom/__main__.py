@@ -13,7 +13,7 @@ from specloom.operators import merge as mg
 from specloom.operators import publish, registry, rules, slots
 from specloom.operators.catalog import machine_catalog
 from specloom.operators.registry import write_atomic
-from specloom.plans.pipeline import Inputs, build, renumbered
+from specloom.plans.pipeline import Inputs, build, machine_records, renumbered, wiki_records
 from specloom.session import local_session, ship
 from specloom.sources import files, machines, pages
 
@@ -53,6 +53,9 @@ def main(argv: list[str] | None = None) -> int:
         q.add_argument("-o", "--output", required=True)
         q.add_argument("--limit", type=int, default=0)
         q.add_argument("--excludes", default="")
+        q.add_argument("--lut", default="", help="rules that name devices; without them no slot maps are made")
+    x.add_argument("--sha1s", default="", help="text index of ROM files: sha1 and path")
+    x.add_argument("--roms", default="", help="folder the index speaks of; with it, ROM facts and mirrors beyond a file's end")
     a = p.parse_args(argv)
     spark = local_session()
     ship(spark)
@@ -60,13 +63,18 @@ def main(argv: list[str] | None = None) -> int:
         ex = rules.Excludes.load(a.excludes) if a.excludes else rules.Excludes([])
         xml = a.cmd == "fetch-openmsx"
         blobs = files.mirror(spark, a.mirror, "*.xml" if xml else "*.html", ex, files.SKIP_PREFIXES if xml else ())
-        blobs = blobs.orderBy("file_name").limit(a.limit) if a.limit else blobs
+        if a.limit:
+            listing = F.lit(False) if xml else F.col("file_name").startswith("Category_")
+            blobs = blobs.where(~listing).orderBy("file_name").limit(a.limit).unionByName(blobs.where(listing))
+        lut = rules.load_lut(a.lut) if a.lut else None
+        if lut is None:
+            print("no --lut: no slot maps")
         if xml:
-            _write(ex.keep(machines.read_facts(blobs, xml="content")).drop("doc", "error"), a.output)
+            roms = (files.sha1_index(spark, a.sha1s), files.rom_files(spark, a.roms)) if a.sha1s and a.roms else ()
+            _write(ex.keep(machine_records(blobs, lut, *roms)).orderBy("doc").drop("doc", "error"), a.output)
         else:
-            got = pages.read_pages(blobs)
-            listing = got.select("doc", F.regexp_replace("doc", r"\.html$", "").alias("title"), F.lit(None).cast("string").alias("generation"))
-            _write(ex.keep(pages.page_records(got, listing)).drop("doc", "variant_no"), a.output)
+            got = pages.read_pages(blobs).persist()
+            _write(ex.keep(wiki_records(got, lut)).orderBy("doc", "variant_no").drop("doc", "variant_no"), a.output)
         return 0
     left, right = _ordered(files.records(spark, a.openmsx, LEFT)), _ordered(files.records(spark, a.msxorg, RIGHT))
     res = rules.load_resolutions(spark, a.resolutions) if a.resolutions else None

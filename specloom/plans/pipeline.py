@@ -11,6 +11,7 @@ from specloom.functions.text import natural_key
 from specloom.operators import merge as mg
 from specloom.operators import publish, registry, rules, slots
 from specloom.operators.catalog import Catalog, machine_catalog
+from specloom.sources import files, machines, pages
 
 
 @dataclass
@@ -48,6 +49,31 @@ def machine_slot_map(devices: DataFrame, lut: list[dict]) -> DataFrame:
     return slots.slot_map(devices.where("kind = 'slot'").select("doc", "doc_ord", "ms", "ss", "external"), d, devices.where("kind = 'mirror'"))
 
 
+def machine_records(docs: DataFrame, lut: list[dict] | None = None, index: DataFrame | None = None, roms: DataFrame | None = None, xml: str = "content") -> DataFrame:
+    """Facts of every machine with its slot map, if there are rules to name its devices, and what its main ROM says, if there
+    are an index (sha1, path) and ROM files (path, length, content)."""
+    out, devices = machines.read_facts(docs, xml=xml), machines.read_devices(docs, xml=xml)
+    if index is not None and roms is not None:
+        devices = devices.persist()
+        size = files.first_file(devices, index, roms.select("path", "length"))
+        devices = devices.join(size.select("doc", "doc_ord", "path", F.col("length").alias("file_size")), ["doc", "doc_ord"], "left")
+        bios = devices.where("kind = 'bios'").select("doc", "path", F.col("win_base").alias("offset"))
+        said = files.rom_bytes(bios.join(roms.select("path", "content"), "path"))
+        out = out.join(said.select("doc", "character_set", "keyboard_type"), "doc", "left")
+    if lut is not None:
+        names = [slots.slot_column(*c) for c in slots.SLOT_COLUMNS]
+        out = out.join(slots.widen(machine_slot_map(devices, lut), "doc"), "doc", "left").withColumns({c: F.coalesce(c, F.lit(slots.ABSENT)) for c in names})
+    return out
+
+
+def wiki_records(got: DataFrame, lut: list[dict] | None = None) -> DataFrame:
+    """Records of parsed wiki pages with the generation of their categories and, if there are rules, their slot maps."""
+    out = pages.page_records(got, pages.page_listing(got))
+    if lut is not None:
+        out = out.join(slots.widen(slots.html_slot_map(got.select("doc", F.inline("cells")), cell_kind("text", lut)), "doc"), "doc", "left")
+    return out
+
+
 def cell_kind(text: Column | str, lut: list[dict]) -> Column:
     """What a wiki slot cell says: cartridge before slot before expansion before mirror before the text patterns."""
     t = F.trim(F.col(text) if isinstance(text, str) else text)

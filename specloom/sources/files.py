@@ -32,6 +32,16 @@ def mirror(spark: SparkSession, folder: str, pattern: str = "*.xml", excludes: E
     return (excludes or Excludes([])).keep_files(named, "file_name", skip_prefixes).select("file_name", "content")
 
 
+def rom_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content) of all files below a folder, paths relative to it. A missing folder is empty."""
+    if not Path(folder).is_dir():
+        log.error("no such folder: %s", folder)
+        return spark.createDataFrame([], "path string, length long, content binary")
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    full = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    return got.select(F.substring(full, F.lit(len(str(Path(folder).resolve())) + 2), F.length(full)).alias("path"), "length", "content")
+
+
 def with_fallback(listing: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """Contents of `listing` (file_name) from the first source, where it has none from the second."""
     a, b = first.withColumnRenamed("content", "_a"), second.withColumnRenamed("content", "_b")

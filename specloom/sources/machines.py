@@ -30,6 +30,9 @@ FM_TAGS = ("MSX-MUSIC", "MSX-MUSIC-WX", "FMPAC", "MSX-AUDIO", "MoonSound", "YM24
 DISK_TAGS = ("TC8566AF", "WD2793", "MB8877A", "Microsol")
 VDP_SPECS = {"TMS9918A": ("256x192", 16, 32), "TMS9928A": ("256x192", 16, 32), "TMS9929A": ("256x192", 16, 32), "V9938": ("512x424", 256, 32), "V9958": ("512x424", 19268, 32)}
 
+#: the device that holds the main ROM, and the size of the blocks a firmware file is cut into
+BIOS, BLOCK = "MSX BIOS with BASIC ROM", 8192
+
 FACTS = (
     "doc string, manufacturer string, model string, year int, region string, generation string, openmsx_id string, main_ram_kb int, mapper string, sram_kb string, vdp string, vram_kb int, "
     "max_resolution string, max_colors int, max_sprites int, psg string, audio_channels int, fm_chip string, floppy_drives string, scraped_cart_slots int, tape_interface string, cpu string, "
@@ -132,9 +135,27 @@ def _range(e: ET.Element | None) -> tuple[int | None, int | None]:
     return (number(e.get("base")), number(e.get("size"))) if e is not None else (None, None)
 
 
+def _sha1s(e: ET.Element) -> list[str]:
+    return [t.lower() for s in e.findall("sha1") if (t := _text(s))]
+
+
+def bios_file(root: ET.Element) -> tuple[list[str], int] | None:
+    """(hashes, offset) of the file that holds the main ROM: its own one, or the firmware file its blocks are cut from."""
+    bios = next((e for e in root.iter() if e is not root and e.get("id") == BIOS), None)
+    rom = bios.find("rom") if bios is not None else None
+    if rom is None:
+        return None
+    if rom.find("sha1") is not None:
+        return _sha1s(rom), _range(rom.find("window"))[0] or 0
+    first = number(_text(rom.find("firstblock")))
+    firmware = next(root.iter("PanasonicRom"), None)
+    whole = firmware.find("rom") if firmware is not None else None
+    return (_sha1s(whole), first * BLOCK) if first is not None and whole is not None else None
+
+
 def device_rows(doc: str, root: ET.Element) -> Iterator[dict]:
     """Slots ('slot'), devices ('device', one row per memory range), children of compound devices ('part') and explicit
-    mirrors ('mirror') in document order."""
+    mirrors ('mirror') in document order; at the end the file of the main ROM ('bios', its offset as win_base)."""
     n = 0
     blank = dict.fromkeys([c.split()[0] for c in DEVICES.split(", ")])
 
@@ -157,7 +178,7 @@ def device_rows(doc: str, root: ET.Element) -> Iterator[dict]:
         rom, vis = e.find("rom"), _range(e.find("rom_visibility"))
         own = {"id": e.get("id"), "tag": e.tag, "mappertype": _text(e.find("mappertype")), "vis_base": vis[0], "vis_size": vis[1]}
         if e.tag == "ROM" or rom is not None:
-            own |= {"sha1s": [t.lower() for s in (rom if rom is not None else e).findall("sha1") if (t := _text(s))]}
+            own |= {"sha1s": _sha1s(rom if rom is not None else e)}
             if rom is not None:
                 own |= {"win_base": _range(rom.find("window"))[0], "first_block": number(_text(rom.find("firstblock")))}
         for m in e.findall("mem") or [None]:
@@ -176,6 +197,8 @@ def device_rows(doc: str, root: ET.Element) -> Iterator[dict]:
                         yield from device(d, ms, ss)
                 else:
                     yield from device(c, ms, 0)
+    if (bios := bios_file(root)) is not None:
+        yield row(kind="bios", tag="bios", sha1s=bios[0], win_base=bios[1])
 
 
 def _frame(rows: list[dict], schema: str) -> pd.DataFrame:

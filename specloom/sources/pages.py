@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.functions import text as tx
-from specloom.operators.publish import explode_variants, without_notes
+from specloom.operators.publish import explode_variants, highest_per_url, without_notes
+from specloom.sources.files import mirrored_page, next_page
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-PAGE = "doc string, specs map<string,string>, bullets array<string>, links array<struct<href:string,text:string,title:string>>, cells array<struct<r:int,c:int,text:string>>"
+PAGE = "doc string, specs map<string,string>, bullets array<string>, links array<struct<href:string,text:string,title:string,listed:boolean>>, cells array<struct<r:int,c:int,text:string>>"
 
 
 class _Node:
@@ -157,6 +158,16 @@ def slot_cells(root: _Node) -> list[tuple[int, int, str]]:
     return []
 
 
+def category_lists(node: _Node) -> Iterator[_Node]:
+    """Elements that list the members of a category."""
+    for c in node.children:
+        if isinstance(c, _Node):
+            if c.attrs.get("id") == "mw-pages" or "mw-category" in c.attrs.get("class", "").split():
+                yield c
+            else:
+                yield from category_lists(c)
+
+
 def read_pages(docs: DataFrame, doc: str = "file_name", html: str = "content") -> DataFrame:
     """One row per page with its specification map, bullets, links and slot table cells; null pages give none."""
 
@@ -167,7 +178,8 @@ def read_pages(docs: DataFrame, doc: str = "file_name", html: str = "content") -
                 if h is None:
                     continue
                 root = tree(h)
-                links = [{"href": a.attrs.get("href", ""), "text": a.text(), "title": a.attrs.get("title", "")} for a in root.iter("a")]
+                listed = {id(a) for n in category_lists(root) for a in n.iter("a")}
+                links = [{"href": a.attrs.get("href", ""), "text": a.text(), "title": a.attrs.get("title", ""), "listed": id(a) in listed} for a in root.iter("a")]
                 out.append((d, specs(root), bullets(root), links, [{"r": r, "c": c, "text": t} for r, c, t in slot_cells(root)]))
             yield pd.DataFrame(out, columns=["doc", "specs", "bullets", "links", "cells"])
 
@@ -205,6 +217,49 @@ def page_records(pages: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def category_links(pages: DataFrame, skip_titles: tuple[str, ...]) -> DataFrame:
-    """(doc, ord, url, title) of the model links of category pages, overview and special pages left out."""
-    each = pages.select("doc", F.posexplode("links").alias("ord", "l")).select("doc", "ord", F.col("l.href").alias("url"), F.col("l.title").alias("title"))
+    """(doc, ord, url, title) of the model links of category pages, overview and special pages left out. Addresses are
+    without their host; a link without a title goes by its text."""
+    each = pages.select("doc", F.posexplode("links").alias("ord", "l")).where("l.listed")
+    each = each.select("doc", "ord", F.regexp_replace("l.href", r"^(?:https?:)?//[^/]+", "").alias("url"), F.coalesce(F.nullif("l.title", F.lit("")), "l.text").alias("title"))
     return each.where(F.col("url").startswith("/wiki/") & ~F.col("url").rlike(r"/wiki/(Category|Special):") & (F.col("title") != "") & ~F.col("title").isin(*skip_titles))
+
+
+#: fixed values: the categories in the order they are read, and the generation each stands for
+CATEGORIES = {"MSX2": "Category:MSX2_Computers", "MSX2+": "Category:MSX2%2B_Computers", "turbo R": "Category:MSX_turbo_R_Computers", "MSX1": "Category:MSX1_Computers"}
+RANKS = {"MSX1": 0, "MSX2": 1, "MSX2+": 2, "turbo R": 3}
+SKIP_TITLES = ("MSX1", "MSX2", "MSX2+", "MSX turbo R")
+BASE = "https://www.msx.org"
+
+
+def page_name(doc: Column | str) -> Column:
+    """Name of a saved page without the ending that browsers give it."""
+    return F.regexp_replace(doc, r"(?: - MSX Wiki)?\.html$", "")
+
+
+def crawled(pages: DataFrame) -> list[tuple[str, str, int]]:
+    """(doc, generation, place) of the category pages that are reached from each first page by 'next' links, in order."""
+    found = {r.name: (r.doc, [(x.href, x.text) for x in r.links]) for r in pages.where(F.col("doc").startswith("Category_")).select("doc", page_name("doc").alias("name"), "links").toLocalIterator()}
+    out: list[tuple[str, str, int]] = []
+    for generation, slug in CATEGORIES.items():
+        page = 1
+        while (got := found.get(mirrored_page(f"{BASE}/wiki/{slug}", page, ""))) is not None:
+            out.append((got[0], generation, len(out)))
+            if next_page(got[1], BASE) is None:
+                break
+            page += 1
+    return out
+
+
+def page_listing(pages: DataFrame) -> DataFrame:
+    """(doc, title, generation) of the pages of a mirror: per address the highest generation of the categories that list it
+    and the title of its first link. Saved pages that no category lists keep their name as title and no generation."""
+    spark = pages.sparkSession
+    places = spark.createDataFrame(crawled(pages), "doc string, generation string, place int")
+    rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[F.col("generation")]
+    links = category_links(pages.join(F.broadcast(places), "doc", "left_semi"), SKIP_TITLES).join(F.broadcast(places), "doc")
+    best = highest_per_url(links.select("url", "generation", "title", (F.col("place") * 1_000_000 + F.col("ord")).alias("ord")), rank)
+    slug = F.substring_index(F.substring("url", len("/wiki/") + 1, 10_000), "?", 1)
+    slug = F.coalesce(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), slug)
+    best = best.select(F.translate(F.translate(slug, "_", " "), ":/", "__").alias("name"), "generation", "title")
+    names = pages.select("doc", page_name("doc").alias("name")).where(~F.col("name").startswith("Category_") & ~F.col("name").isin(*SKIP_TITLES))
+    return names.join(best, "name", "left").select("doc", F.coalesce("title", "name").alias("title"), "generation")

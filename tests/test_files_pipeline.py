@@ -96,6 +96,49 @@ def test_cli_keeps_slot_maps_and_all_local_fields(spark, tmp_path):
     assert [(c["field"], c["openmsx_value"], c["msxorg_value"]) for c in json.loads((tmp_path / "c.json").read_text())] == [("slotmap_0_0_0", "MAIN", "SUB")]
 
 
+def test_fetch_openmsx_joins_slot_maps_and_rom_facts(spark, tmp_path):
+    head = "<msxconfig><info><manufacturer>Acme</manufacturer><code>%s</code><type>MSX2</type></info><devices>"
+    own = '<primary slot="0"><ROM id="MSX BIOS with BASIC ROM"><mem base="0" size="0x8000"/><rom><sha1>none</sha1><sha1>AB</sha1><window base="0x10"/></rom></ROM></primary><primary slot="1" external="true"/></devices></msxconfig>'
+    block = '<PanasonicRom><rom><sha1>CD</sha1></rom></PanasonicRom><primary slot="0"><ROM id="MSX BIOS with BASIC ROM"><rom><firstblock>1</firstblock></rom></ROM></primary></devices></msxconfig>'
+    (tmp_path / "m").mkdir(), (tmp_path / "roms" / "sub").mkdir(parents=True)
+    for name, body in (("A", own), ("B", block), ("C", "</devices></msxconfig>")):
+        (tmp_path / "m" / f"{name}.xml").write_text(head % name + body)
+    small, big = bytearray(0x4000), bytearray(0x4000)
+    small[0x3B], small[0x3C], big[0x202B], big[0x202C] = 0x12, 0xF3, 0x01, 0x04
+    (tmp_path / "roms" / "sub" / "a b+.rom").write_bytes(small), (tmp_path / "roms" / "big.rom").write_bytes(big)
+    (tmp_path / "sha.txt").write_text("ab ./sub/a b+.rom\ncd ./big.rom\n")
+    (tmp_path / "lut.json").write_text(json.dumps([{"element": "ROM", "id_pattern": "bios", "abbr": "MAIN", "tooltip": "m"}]))
+    args = ["fetch-openmsx", str(tmp_path / "m"), "--lut", str(tmp_path / "lut.json"), "--sha1s", str(tmp_path / "sha.txt"), "--roms", str(tmp_path / "roms"), "-o", str(tmp_path / "o.json")]
+    assert main(args) == 0
+    a, b, c = json.loads((tmp_path / "o.json").read_text())
+    assert [a[f"slotmap_{k}"] for k in ("0_0_0", "0_0_1", "0_0_2", "1_0_3", "2_0_0")] == ["MAIN", "MAIN*", "⌴", "CS1", "⌧"]
+    assert (a["character_set"], a["keyboard_type"], b["character_set"], b["keyboard_type"]) == ("Korean", "UK", "International", "German")
+    assert sum(k.startswith("slotmap_") for k in c) == 64 and c["slotmap_0_0_0"] == "⌧" and "character_set" not in c
+
+
+def test_fetch_msxorg_joins_slot_maps_and_generations(spark, tmp_path):
+    m = tmp_path / "w"
+    m.mkdir()
+    link = '<a href="%s" title="%s">t</a>'
+    listing = lambda *ls, more="": '<div><a href="/wiki/Acme_Z9" title="Acme Z9">side</a></div><div id="mw-pages">' + "".join(link % x for x in ls) + f"</div>{more}"
+    nxt = '<a href="/wiki/index.php?title=Category:MSX1_Computers&amp;from=B">next 200</a>'
+    (m / "Category_MSX1 Computers - MSX Wiki.html").write_text(listing(("/wiki/Acme_X1", "Acme X1"), ("/wiki/MSX1", "MSX1"), more=nxt))
+    (m / "Category_MSX1 Computers_page2 - MSX Wiki.html").write_text(listing(("https://www.msx.org/wiki/Acme_X2/5%2B", "Acme X2/5+")))
+    (m / "Category_MSX1 Computers_page3 - MSX Wiki.html").write_text(listing(("/wiki/Acme_Z9", "stale")))
+    (m / "Category_MSX2+ Computers - MSX Wiki.html").write_text(listing(("/wiki/Acme_X1", "Acme X1")))
+    spec = "<table><tr><td>Brand</td><td>Acme</td></tr><tr><td>Model</td><td>%s</td></tr></table>"
+    table = "<h2>Slot Map</h2><table><tr><th>Page</th><th>Slot 0</th><th>Slot 1</th></tr><tr><td>0000h</td><td>Main ROM</td><td>Cartridge</td></tr></table>"
+    for name, body in (("Acme X1", spec % "X1" + table), ("Acme X2_5+", spec % "X2"), ("Acme Z9", spec % "Z9"), ("MSX1", spec % "any")):
+        (m / f"{name} - MSX Wiki.html").write_text(body)
+    (tmp_path / "lut.json").write_text(json.dumps([{"element": None, "id_pattern": "main", "abbr": "MAIN", "tooltip": "m"}]))
+    assert main(["fetch-msxorg", str(m), "--lut", str(tmp_path / "lut.json"), "-o", str(tmp_path / "o.json")]) == 0
+    got = json.loads((tmp_path / "o.json").read_text())
+    assert [(r["model"], r["msxorg_title"], r.get("generation")) for r in got] == [("X1", "Acme X1", "MSX2+"), ("X2", "Acme X2/5+", "MSX1"), ("Z9", "Acme Z9", None)]
+    assert (got[0]["slotmap_0_0_0"], got[0]["slotmap_1_0_0"], got[0]["slotmap_2_0_0"]) == ("MAIN", "CS1", "⌧") and "slotmap_0_0_0" not in got[1]
+    assert main(["fetch-msxorg", str(m), "--limit", "1", "-o", str(tmp_path / "o.json")]) == 0
+    assert [(r["model"], r["generation"]) for r in json.loads((tmp_path / "o.json").read_text())] == [("X1", "MSX2+")]
+
+
 def test_dead_rules_and_substituted_keys(spark):
     df = spark.createDataFrame([("None", "X", 1), ("A", "Y", 2)], "manufacturer string, model string, ord long")
     inp = pipeline.Inputs(df, df.limit(0), spark.createDataFrame([], registry.SCHEMA), substitutions={"manufacturer": [("(?i)^none$", None)]}, excludes=rules.Excludes([{"manufacturer": "B", "model": "*"}]))
