@@ -281,24 +281,26 @@ def changes_of(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("file_id", F.explode(kinds).alias("change_kind"), F.coalesce("old_field", F.lit("")).alias("old_field"), F.coalesce("new_field", F.lit("")).alias("new_field"))
 
 
-def canonical_names(schemas: DataFrame, named: DataFrame, pairs: DataFrame, rounds: int = 8) -> DataFrame:
+def canonical_names(schemas: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
     """(file_id, key, canonical): the first name of each field in its series, followed back through renames.
 
-    Pointers to the field of the file before are doubled each round (2**rounds files are followed at the most; the loop
-    ends as soon as no pointer moves), so no series is gathered in one task.
+    Pointers to the field of the file before are doubled each round until none moves (log2 of the longest series rounds), so
+    no series is gathered in one task. Files that follow one another in a circle have no first name: ValueError.
     """
     here = pairs.join(schemas.select("file_id", "key"), "file_id").join(named.withColumnRenamed("new_field", "key"), ["file_id", "key"], "left")
     back = here.select("file_id", "key", "prev_id", F.coalesce("old_field", "key").alias("prev_key"))
     exists = schemas.select(F.col("file_id").alias("prev_id"), F.col("key").alias("prev_key"))
     at = schemas.select("file_id", "key").join(back.join(exists, ["prev_id", "prev_key"], "left_semi"), ["file_id", "key"], "left")
     at = cut(at.select("file_id", "key", F.coalesce("prev_id", "file_id").alias("to_id"), F.coalesce("prev_key", "key").alias("to_key")))
-    for _ in range(rounds):
+    for _ in range(pairs.count().bit_length() + 1):
         hop = at.select(F.col("file_id").alias("to_id"), F.col("key").alias("to_key"), F.col("to_id").alias("hop_id"), F.col("to_key").alias("hop_key"))
         nxt = cut(at.join(hop, ["to_id", "to_key"]).select("file_id", "key", F.col("hop_id").alias("new_id"), F.col("hop_key").alias("new_key"), ((F.col("hop_id") != F.col("to_id")) | (F.col("hop_key") != F.col("to_key"))).alias("moved")))
         more = bool(nxt.where("moved").take(1))
         at = nxt.select("file_id", "key", F.col("new_id").alias("to_id"), F.col("new_key").alias("to_key"))
         if not more:
             break
+    else:
+        raise ValueError("files follow one another in a circle")
     return at.select("file_id", "key", F.col("to_key").alias("canonical"))
 
 

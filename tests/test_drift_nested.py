@@ -1,5 +1,7 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
 
 from specloom.operators import drift, nested
 
@@ -46,6 +48,18 @@ def test_unify(spark):
     assert all(r.extras == {"year": "n/a"} for r in rows if r.file_id == 3)
 
 
+def test_canonical_names_of_a_long_series(spark):
+    n = 300
+    schemas = spark.createDataFrame([(k, "new" if k > 2 else "old", ["string"]) for k in range(1, n + 1)], "file_id long, key string, kinds array<string>")
+    named = spark.createDataFrame([(3, "old", "new")], "file_id long, old_field string, new_field string")
+    pairs = spark.createDataFrame([(k, k - 1) for k in range(2, n + 1)], "file_id long, prev_id long")
+    got = drift.canonical_names(schemas, named, pairs).collect()
+    assert len(got) == n and {r.canonical for r in got} == {"old"}
+    circle = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "file_id long, prev_id long")
+    with pytest.raises(ValueError):
+        drift.canonical_names(schemas.where("file_id <= 3").withColumn("key", F.lit("k")), named.limit(0), circle)
+
+
 def test_flooding_is_one_to_one():
     old, new = {"a": ["string"], "k": ["string"], "vram_kb": ["number"]}, {"a": ["string"], "keys": ["string"], "VRAM": ["string"]}
     assert drift.match_fields(old, new, {("k", "keys"): (9, 9), ("k", "VRAM"): (9, 1), ("vram_kb", "keys"): (9, 0), ("vram_kb", "VRAM"): (9, 9)}) != []
