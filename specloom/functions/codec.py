@@ -75,8 +75,7 @@ def bitset(ids: Iterable[int]) -> bytes:
 
 
 def ids_of(bits: bytes) -> set[int]:
-    n = int.from_bytes(bits, "little")
-    return {i for i in range(n.bit_length()) if n >> i & 1}
+    return {8 * k + i for k, byte in enumerate(bits) if byte for i in range(8) if byte >> i & 1}
 
 
 def _sized(data: bytes) -> bytes:
@@ -115,16 +114,17 @@ class _Reader:
 
 def decode(text: str, columns: Iterable[int], groups: Iterable[int], rows: Iterable[int]) -> ViewState:
     """Never raises: text of another version, cut short or corrupt gives the empty state; unknown ids are dropped one by one."""
-    known_c, known_g, known_r = set(columns), set(groups), set(rows)
+    known_c, known_g, known_r = (x if isinstance(x, range) else set(x) for x in (columns, groups, rows))
+    of = lambda ids, known: {i for i in ids if i in known}
     try:
         r = _Reader(base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_", validate=True))
         version, _, sort, direction, mask = struct.unpack(">BBHBI", r.take(9))
         if version != VERSION:
             return ViewState()
         s = ViewState(sort_column=sort if sort in known_c else None, descending=direction == 1)
-        s.collapsed_groups = {g for g in range(32) if mask >> g & 1} & known_g
-        s.hidden_columns = ids_of(r.sized()) & known_c
-        s.hidden_rows = ids_of(r.sized()) & known_r
+        s.collapsed_groups = of((g for g in range(32) if mask >> g & 1), known_g)
+        s.hidden_columns = of(ids_of(r.sized()), known_c)
+        s.hidden_rows = of(ids_of(r.sized()), known_r)
         for _ in range(r.u16()):
             c, t = r.u16(), r.sized().decode("utf-8", "replace")
             if c in known_c:
@@ -132,7 +132,7 @@ def decode(text: str, columns: Iterable[int], groups: Iterable[int], rows: Itera
         for _ in range(r.u16()):
             row, cs = r.u16(), ids_of(r.sized())
             if row in known_r:
-                s.selected |= {(row, c) for c in cs & known_c}
+                s.selected |= {(row, c) for c in of(cs, known_c)}
         if s.sort_column is None:
             s.descending = False
         return s

@@ -9,6 +9,7 @@ from specloom.functions import codec, text
 from specloom.functions.codec import ViewState
 from specloom.operators import publish, registry, rules, view
 from specloom.operators.catalog import Catalog, Field, Group, machine_catalog
+from specloom.plans import grid_queries
 
 IDS = st.sets(st.integers(1, 300), max_size=8)
 
@@ -34,6 +35,12 @@ def test_codec_bytes_and_resilience():
     assert codec.bitset([]) == b"" and codec.bitset([0, 9]) == b"\x01\x02" and codec.ids_of(b"\x01\x02") == {0, 9}
 
 
+def test_codec_round_trip_of_all_customers(spark, tmp_path):
+    spark.range(0, 140_000, 7).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    assert grid_queries.codec_roundtrip_all(spark, str(tmp_path)).first().n == 20_000
+    assert grid_queries.codec_roundtrip(spark, str(tmp_path)).first().n == 65_535 // 7
+
+
 def test_state_changes():
     s = ViewState(selected={(1, 2), (1, 3)})
     s.next_sort(4), s.next_sort(4)
