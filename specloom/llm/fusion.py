@@ -70,13 +70,14 @@ def survivors(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] = FIELD
     return size.join(got.groupBy("group_key").agg(*best), "group_key", "left")
 
 
-def truth_discovery(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] = FIELDS, rounds: int = 10, eps: float = 1e-3, prior: float = 20.0) -> tuple[DataFrame, dict[str, float]]:
+def truth_discovery(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] = FIELDS, rounds: int = 1000, eps: float = 1e-3, prior: float = 20.0) -> tuple[DataFrame, dict[str, float]]:
     """Iterative truth discovery over all rows: ((group_key, field_name, value, support, rec_id), origin reliability).
 
     Claims are first summed to (group, field, value, origin) counts; a hot group therefore is as large as its distinct
     values times origins, not as its rows. Each round votes with the logarithm of every origin's odds of being right, then
     re-estimates each origin as the smoothed share of its claims that agree with the winners (`prior` pseudo-claims at the
-    starting value). It ends when no reliability moves by `eps`. Only one number per origin reaches the driver.
+    starting value). It ends when no reliability moves by `eps`; if they come back to where they were or move after `rounds`
+    rounds they never settle: RuntimeError. Only one number per origin reaches the driver.
     """
     got = claims(df, origins, fields)
     folded = F.lower(strip("value"))
@@ -96,6 +97,7 @@ def truth_discovery(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] =
         per = counts.groupBy("group_key", "field_name", "v").agg(F.sum(odds * F.log1p("n")).alias("support"), F.max_by("best", "rank").alias("best"), F.max("rank").alias("rank"))
         return per.groupBy("group_key", "field_name").agg(F.max_by(F.struct("v", "support", "best"), F.struct("support", "rank")).alias("w")).select("group_key", "field_name", "w.v", "w.support", "w.best")
 
+    seen: set[tuple] = set()
     for _ in range(rounds):
         won = vote().select("group_key", "field_name", F.col("v").alias("won"))
         share = counts.join(won, ["group_key", "field_name"]).groupBy("origin").agg(F.sum(F.when(F.col("v") == F.col("won"), F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("n")).collect()
@@ -104,6 +106,12 @@ def truth_discovery(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] =
         weight |= nxt
         if moved < eps:
             break
+        state = tuple(round(weight[o], 9) for o in sorted(weight))
+        if state in seen:
+            raise RuntimeError("reliabilities go in a circle")
+        seen.add(state)
+    else:
+        raise RuntimeError(f"reliabilities haven't settled after {rounds} rounds")
     out = vote().select("group_key", "field_name", F.col("best.value").alias("value"), "support", F.col("best.rec_id").alias("rec_id"))
     return out, weight
 

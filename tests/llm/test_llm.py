@@ -85,6 +85,15 @@ def test_truth_discovery_learns_sources(spark):
     assert fusion.truth_discovery(df.limit(0), origins)[0].count() == 0
 
 
+def test_truth_discovery_settles_or_says_so(spark):
+    df = spark.createDataFrame([(i, "m", str(i // 3), o, None, v, None, None, None) for i, (o, v) in enumerate([("a", "V"), ("b", "V"), ("c", "W")] * 9)], LOCAL)
+    origins = spark.createDataFrame([("a", 0), ("b", 1), ("c", 4)], "origin string, trust int")
+    found, _ = fusion.truth_discovery(df, origins)
+    assert {r.value for r in found.collect()} == {"W"}
+    with pytest.raises(RuntimeError):
+        fusion.truth_discovery(df, origins, rounds=1)
+
+
 def test_plan_is_whole_and_tight():
     rng = random.Random(2)
     for cap in (1, 7, 64, 256):
