@@ -29,6 +29,8 @@ LOOKALIKES = str.maketrans(
     "aeopcyxijshkmtbhdqwgvyr" + "aeopuviktxny",
 )
 _TAG = re.compile(r"<[^<>\n]{1,80}>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});")
+#: tags that `_TAG` doesn't hold: longer ones and ones over several lines. Without any attribute value it is prose
+_LONG = re.compile(r"""<(?![^<>\n]{1,80}>)(?=[^<>]*=|[^<>]{1,80}>)/?[a-zA-Z][\w:-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+)*+\s*+/?>""")
 _NONE = re.compile("[­​-‏⁠﻿̀-゙゚ͯ︎️]+")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
 _IDEO = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -36,7 +38,7 @@ _IDEO = re.compile(r"[぀-ヿ㐀-鿿]")
 
 def words(text: str) -> list[str]:
     """Words without case, accents, look-alikes, punctuation, spacing and mark-up."""
-    t = _TAG.sub(" ", text)
+    t = _TAG.sub(" ", _LONG.sub(" ", text))
     t = _NONE.sub("", unicodedata.normalize("NFKD", t)).casefold().translate(LOOKALIKES)
     return _WORD.findall(t)
 
@@ -63,7 +65,8 @@ class ItemIndex:
         coded = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws] for ws in texts]
         ideo = [len(_IDEO.findall(t or "")) * 2 > len("".join(ws)) for (_, t), ws in zip(items, texts, strict=True)]
         self.run = [ideo_run if x else run for x in ideo]
-        texts_of = [[words(t[a:e]) for a, e in sentence_spans(t)] for _, t in items]
+        plain = [_LONG.sub(" ", t) for _, t in items]
+        texts_of = [[words(t[a:e]) for a, e in sentence_spans(t)] for t in plain]
         keys = [[sentence_key(s) for s in own] for own in texts_of]
         if shared is None:
             shared = {k for k, n in Counter(k for own in keys for k in set(own)).items() if n > 1}
@@ -251,6 +254,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_c
         for batch in batches:
             i, k = [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = _LONG.sub(" ", text)
                 own = {sentence_key(words(text[a:e])) for a, e in sentence_spans(text)}
                 i += [item] * len(own)
                 k += own

@@ -155,6 +155,15 @@ def brute(text, item, run=12, edits=0.25):
     return False
 
 
+def test_long_tags_are_no_words():
+    run = [f"w{i}" for i in range(14)]
+    tag = '<a href="https://example.org/' + "x/y-z." * 30 + '" title="one\ntwo. Three">'
+    assert leakage.words(f"{run[0]} {tag}{run[1]}</a> <b\nclass=q>{run[2]}") == run[:3]
+    assert leakage.words("a <b and " + "c " * 60 + "> d") == ["a", "b", "and", *["c"] * 60, "d"]
+    index = leakage.ItemIndex([(7, f"Zz {tag}{' '.join(run)}</a>.")])
+    assert index.leaks(" ".join(run[:6]) + f" {tag}" + " ".join(run[6:]) + "</a>")
+
+
 def test_leaks_equal_brute_force():
     rng = random.Random(3)
     sent = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
