@@ -61,7 +61,8 @@ def typing_cost(typed: str, meant: str, limit: float = 1.6, digits_differ: bool
 
 
 def deletions(token: Column) -> Column:
-    """The token and its one-character deletions."""
+    """The token and its one-character deletions, look-alikes folded: how many of them differ is left to the price."""
+    token = F.translate(token, "".join(_LIKE), "".join(_LIKE.values()))
     n = F.length(token)
     gone = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, n)))
     return F.array_distinct(F.concat(F.array(token), F.when(n > 2, gone).otherwise(F.array(token))))
@@ -70,7 +71,7 @@ def deletions(token: Column) -> Column:
 def repair(tokens: DataFrame, vocabulary: DataFrame, limit: float = 1.6) -> DataFrame:
     """(token, word, cost): each distinct token beside the vocabulary words it may stand for.
 
-    Exact words cost 0. Words within one edit are found by shared deletions; pairs dearer than `limit` are dropped.
+    Exact words cost 0. Words within one edit beside any look-alikes are found by shared deletions; pairs dearer than `limit` are dropped.
     """
     t = tokens.select("token").distinct().select("token", F.explode(deletions(F.col("token"))).alias("k"))
     v = vocabulary.select("word").distinct().select("word", F.explode(deletions(F.col("word"))).alias("k"))

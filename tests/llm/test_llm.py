@@ -35,6 +35,13 @@ def test_map_models(spark):
     assert got == {0: 1, 1: 2, 2: 3, 3: 4, 4: -1, 5: 5, 6: -1, 7: 5, 8: -1, 12: 5}
 
 
+def test_repair_meets_several_lookalikes(spark):
+    typed = spark.createDataFrame([("AB1O1O",), ("ABIOO",), ("ABIO9",)], "token string")
+    meant = spark.createDataFrame([("AB1010",), ("AB100",)], "word string")
+    got = {(r.token, r.word): round(r.cost, 1) for r in canon_map.repair(typed, meant).collect()}
+    assert got["AB1O1O", "AB1010"] == 0.4 and got["ABIOO", "AB100"] == 0.6 and got["ABIOO", "AB1010"] == 1.6 and ("ABIO9", "AB100") not in got
+
+
 def test_map_regions(spark):
     canon = spark.createDataFrame([(1, "Japan", "jp", "日本"), (2, "Saudi Arabia", "sa", "السعودية"), (3, "Iran", "ir", "ایران"), (4, "Iraq", "iq", "العراق"), (5, "UK", "gb", "United Kingdom"), (6, "Italy", "it", "Italia")], "region_id long, region string, code string, local_name string")
     typed = ["japan", "JP - Japan", "日本 / Iran", "Saudi Aarbia; ITALY", "worldwide", None, " ", "Iraq", "United ingdom only", "(IT)", "Japn (export version)", "Atlantis", "iran, late model", "JAPAN", "Great Britain"]
