@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specloom.session import cut
+
 TRIPLES = "node_no int, parent_no int, grp string, tag string, path string, ordinal int, value string"
 MALFORMED = "malformed"
 
@@ -38,6 +40,14 @@ MACHINE_GROUPS = (
 )
 
 
+#: columns of the tables of machine descriptions
+MACHINE_PATHS = {
+    ("primary", "secondary"): {"slot": "@slot", "external": "@external"},
+    "device": {"device_id": "@id", "size": "size/#", "mapper_type": "mappertype/#", "sram_size": "sramsize/#", "first_sha1": "rom/sha1/#", "visible_base": "rom_visibility/@base", "visible_size": "rom_visibility/@size"},
+    "range": {"base": "@base", "size": "@size"},
+}
+
+
 class _Shredder:
     """Expat handlers that keep only a stack of open elements, never the tree."""
 
@@ -199,9 +209,8 @@ def machine_nodes(df: DataFrame, id_col: str = "xml_id", xml_col: str = "xml_tex
 
 
 def machine_tables(df: DataFrame, id_col: str = "xml_id", xml_col: str = "xml_text") -> dict[str, DataFrame]:
-    """The related flat tables: slots, devices, ranges; each row has node_no and parent_no within its document."""
-    t = shred(df, id_col, xml_col)
-    slots = pivot_group(t, id_col, ("primary", "secondary"), {"slot": "@slot", "external": "@external"})
-    devices = pivot_group(t, id_col, "device", {"device_id": "@id", "size": "size/#", "mapper_type": "mappertype/#", "sram_size": "sramsize/#", "first_sha1": "rom/sha1/#", "visible_base": "rom_visibility/@base", "visible_size": "rom_visibility/@size"})
-    ranges = pivot_group(t, id_col, "range", {"base": "@base", "size": "@size"})
+    """The related flat tables: slots, devices, ranges; each row has node_no and parent_no within its document. Documents are
+    parsed once, whatever is read of the tables."""
+    t = cut(shred(df, id_col, xml_col).where(F.col("path").isin("", *{p for g in MACHINE_PATHS.values() for p in g.values()})))
+    slots, devices, ranges = (pivot_group(t, id_col, g, MACHINE_PATHS[g]) for g in (("primary", "secondary"), "device", "range"))
     return {"slots": slots, "devices": devices, "ranges": ranges}

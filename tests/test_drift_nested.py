@@ -40,12 +40,29 @@ def test_changes(spark):
     assert drift.changes(f.limit(0), lines).count() == 0 and drift.changes(f, lines.limit(0)).count() == 0
 
 
+def test_units_and_nesting_are_followed(spark):
+    one = [machine(i, ram=8 << i % 4, gen={"value": f"MSX{i % 3}", "note": "x"}, other=i) for i in range(8)]
+    two = [machine(i, memory=f"{8 << i % 4} kB", standard=[f"MSX{i % 3}"], colour="grey") for i in range(8)]
+    f, lines = files(spark, [one, two])
+    got = {tuple(r) for r in drift.changes(f, lines).select("change_kind", "old_field", "new_field").collect()}
+    assert got == {("renamed", "ram", "memory"), ("retyped", "ram", "memory"), ("renamed", "gen", "standard"), ("retyped", "gen", "standard"), ("removed", "other", ""), ("added", "", "colour")}
+
+
 def test_unify(spark):
-    f, lines = files(spark, [[{"model": f"QQQ-{i}", "standard": "MSX1", "year": 1980 + i} for i in range(6)], [{"model": f"QQQ-{i}", "std": ["MSX1"], "year": str(1980 + i), "odd": i} for i in range(6)], [{"model": f"QQQ-{i}", "std2": "MSX1", "year": "n/a"} for i in range(6)]])
-    rows = drift.unify(f, lines).collect()
-    assert len(rows) == 18 and {r.generation for r in rows} == {"MSX1"}
-    assert {r.year for r in rows if r.file_id == 2} == set(range(1980, 1986)) and {r.year for r in rows if r.file_id == 3} == {None}
-    assert all(r.extras == {"year": "n/a"} for r in rows if r.file_id == 3)
+    f, lines = files(spark, [[{"model": f"QQQ-{i}", "standard": "MSX1", "year": 1980 + i} for i in range(6)], [{"model": f"QQQ-{i}", "std": ["MSX1"], "year": str(1980 + i), "odd": i} for i in range(6)], [{"model": f"QQQ-{i}", "std": "MSX1", "year": "n/a" if i < 2 else 1980 + i} for i in range(6)] + [{}, {"model": None}]])
+    got = drift.unify(f, lines, share=0.8)
+    assert dict(got.dtypes) == {"file_id": "bigint", "line_id": "bigint", "model": "string", "odd": "bigint", "standard": "string", "year": "bigint", "extras": "map<string,string>"}
+    rows = got.collect()
+    assert len(rows) == 20 and {r.standard for r in rows} == {"MSX1", None} and sum(r.model is None for r in rows) == 2
+    assert {r.year for r in rows if r.file_id == 2} == set(range(1980, 1986))
+    assert sorted(r.extras["year"] for r in rows if r.extras) == ["n/a", "n/a"]
+    assert drift.unify(f, lines.limit(0)).count() == 0
+
+
+def test_columns_join_names_over_series(spark):
+    names = spark.createDataFrame([(1, "k", "standard"), (2, "k", "standard"), (3, "k", "generation"), (4, "k", "GENERATION"), (5, "k", "vdp")], "file_id long, key string, canonical string")
+    named = spark.createDataFrame([(1, "standard", "generation"), (2, "generation", "standard"), (3, "vdp", "standard")], "file_id long, old_field string, new_field string")
+    assert drift.column_names(names, named) == {"standard": "standard", "generation": "standard", "GENERATION": "standard", "vdp": "vdp"}
 
 
 def test_canonical_names_of_a_long_series(spark):
@@ -60,9 +77,32 @@ def test_canonical_names_of_a_long_series(spark):
         drift.canonical_names(schemas.where("file_id <= 3").withColumn("key", F.lit("k")), named.limit(0), circle)
 
 
+def plain(**kinds):
+    return {k: ([v], []) for k, v in kinds.items()}
+
+
 def test_flooding_is_one_to_one():
-    old, new = {"a": ["string"], "k": ["string"], "vram_kb": ["number"]}, {"a": ["string"], "keys": ["string"], "VRAM": ["string"]}
-    assert drift.match_fields(old, new, {("k", "keys"): (9, 9), ("k", "VRAM"): (9, 1), ("vram_kb", "keys"): (9, 0), ("vram_kb", "VRAM"): (9, 9)}) != []
-    assert set(drift.match_fields(old, new, {("k", "keys"): (9, 9), ("vram_kb", "VRAM"): (9, 9)})) == {("k", "keys"), ("vram_kb", "VRAM")}
-    assert drift.match_fields({"a": []}, {"b": []}, {("a", "b"): (5, 1)}) == []
+    old, new = plain(a="string", k="string", vram_kb="number"), plain(a="string", keys="string", VRAM="string")
+    both = {("k", "keys"): (9, 9), ("k", "VRAM"): (9, 1), ("vram_kb", "keys"): (9, 0), ("vram_kb", "VRAM"): (9, 9)}
+    assert set(drift.match_fields(old, new, both)) == {("k", "keys"), ("vram_kb", "VRAM")}
+    assert drift.match_fields(plain(a="string"), plain(b="string"), {("a", "b"): (5, 1)}) == []
+    assert drift.match_fields(plain(sound_chip="string"), plain(soundChip="string"), {}) == [("sound_chip", "soundChip")]
+    assert drift.match_fields(plain(a="string"), {}, {}) == []
     assert drift.name_tokens("scrapedCartSlots_raw") == ("scraped", "cart", "slots", "raw")
+
+
+def test_flooding_decides(monkeypatch):
+    """Without propagation the seeds alone accept nothing that changed its name, and equal scores accept everything."""
+    old, new = plain(model="string", region="string", year="number"), plain(model="string", country="string", weight="number")
+    both = {("region", "country"): (20, 20), ("region", "weight"): (20, 0), ("year", "country"): (20, 0), ("year", "weight"): (20, 1)}
+    assert drift.match_fields(old, new, both) == [("region", "country")]
+    flood = drift.flood
+    monkeypatch.setattr(drift, "flood", lambda g: drift.np.array(g.seeds))
+    assert drift.match_fields(old, new, both) == []
+    monkeypatch.setattr(drift, "flood", lambda g: drift.np.ones(len(g.seeds)))
+    assert len(drift.match_fields(old, new, both)) == 2
+    g = drift.PairGraph()
+    g.edge(g.node("x", 1.0), g.node("y", 0.0), "values")
+    assert flood(g)[1] > 0.3
+    with pytest.raises(RuntimeError):
+        flood(g, rounds=1)
