@@ -12,10 +12,16 @@ from specloom.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = entity_match.match(table(spark, sf_dir, "openmsx_raw"), table(spark, sf_dir, "msxorg_raw"))
+    got = entity_match.pairs(table(spark, sf_dir, "openmsx_raw"), table(spark, sf_dir, "msxorg_raw"))
     return got.select(F.col("openmsx_rec_id").cast("long"), F.col("msxorg_rec_id").cast("long"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per machine that both sources hold, with its numbers of records and the confidence of its weakest rule."""
+    rows, _ = entity_match.classes(table(spark, sf_dir, "openmsx_raw"), table(spark, sf_dir, "msxorg_raw"))
+    return rows
+
+
 def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and mean confidence of each rule."""
     got = entity_match.match(table(spark, sf_dir, "openmsx_raw"), table(spark, sf_dir, "msxorg_raw"))
@@ -56,7 +62,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_confidence, p3_found, p5_found, p5_truth, p5_survivors, p6_containers, p7_found, p8_found)
+    own = (p1_found, p1_confidence, p1_classes, p3_found, p5_found, p5_truth, p5_survivors, p6_containers, p7_found, p8_found)
     return {f.__name__: f for f in own}
 
 

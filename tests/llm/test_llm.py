@@ -26,6 +26,39 @@ def test_entity_match(spark):
     conf = {r.rule: r.confidence for r in entity_match.match(left, right, labels=labels).collect()}
     assert conf["maker+model"] == 0.5
     assert entity_match.match(left.limit(0), right).count() == entity_match.match(left, right.limit(0)).count() == 0
+    rows, members = entity_match.classes(left, right)
+    many = {(r.class_maker, r.class_mark): (r.n_openmsx, r.n_msxorg) for r in rows.collect()}
+    assert many["KASTUDOX", "ABC123P"] == (2, 3) and many["KASTUDOX", "ABC123MK11"] == (1, 1)
+    at = {}
+    for m in members.collect():
+        at.setdefault((m.class_maker, m.class_mark), {"openmsx": set(), "msxorg": set()})[m.source].add(m.rec_id)
+    assert {(a, b) for c in at.values() for a in c["openmsx"] for b in c["msxorg"]} == pairs
+
+
+def test_entity_match_rules_one_by_one(spark):
+    """One page per rule, each with a sibling of another maker; the weaker rules must not fire where a stronger one did."""
+    left = spark.createDataFrame([o(k, m, f"ABC-{k}00") for k, m in enumerate(["Kastudox", "Kastudox", "Kastudox", "Kastudox", "Kastudox"], 1)] + [o(k + 10, "Zenith", f"ABC-{k}00") for k in range(1, 6)], OPEN)
+    right = spark.createDataFrame(
+        [o(101, "Kastudox", "ABC 100", "x"), o(102, "Other", "ABC 200", "Kastudox thing"), o(103, "Other", None, "Kastudox ABC 300"), o(104, "Kastdox", "ABC 400", None), o(105, "Kastdox", None, "Unheard ABC 500"), o(106, "Nobody", "ABC 100", None)], WIKI
+    )
+    got = {(r.openmsx_rec_id, r.msxorg_rec_id, r.rule) for r in entity_match.match(left, right).collect()}
+    assert got == {(k, 100 + k, r.name) for k, r in enumerate(entity_match.RULES, 1)}
+
+
+def test_silver_labels_measure_rules(spark):
+    """Pairs whose facts agree raise a rule's confidence, others lower it; a rule that can't be judged has the blank one."""
+    left = spark.createDataFrame([o(k, "Acme", f"ABC-{k}", year=1980, vdp="V", ram=64) for k in range(100, 110)] + [o(1, "Zenith", "XYZ-500")], OPEN)
+    right = spark.createDataFrame([o(1000 + k, "Acme", f"ABC {k}", None, year=1980 if k < 108 else 1, vdp="v" if k < 108 else "w", ram=64) for k in range(100, 110)] + [o(2, "Zenth", "XYZ 500", None)], WIKI)
+    conf = {r.rule: r.confidence for r in entity_match.match(left, right).collect()}
+    assert conf["maker+model"] == pytest.approx(9 / 12) and conf["model, maker alike"] == 0.5
+
+
+def test_large_classes_are_paired_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(entity_match, "LARGE", 7)
+    left = spark.createDataFrame([o(k, "Acme", "ABC-1") for k in range(40)] + [o(99, "Acme", "ABC-2")], OPEN)
+    right = spark.createDataFrame([o(100 + k, "Acme", "abc_1", None) for k in range(5)] + [o(199, "Acme", "ABC 2", None)], WIKI)
+    got = [(r.openmsx_rec_id, r.msxorg_rec_id) for r in entity_match.pairs(left, right).collect()]
+    assert sorted(got) == sorted([(a, 100 + b) for a in range(40) for b in range(5)] + [(99, 199)])
 
 
 def test_map_models(spark):
