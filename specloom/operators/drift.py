@@ -17,7 +17,6 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -328,21 +327,21 @@ def renames(records: DataFrame, schemas: DataFrame, pairs: DataFrame, accept: fl
         both.select("file_id", "a", "b", *[none.alias(f"{x}_{y}") for y in ("kinds", "marks") for x in ("old", "new")], "n", "same")
     )
 
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new, seen = {}, {}, {}
-        for r in pdf.itertuples():
-            if r.n:
-                seen[r.a, r.b] = (int(r.n), int(r.same))
-            else:
-                if r.old_kinds is not None:
-                    old[r.a] = (list(r.old_kinds), list(r.old_marks))
-                if r.new_kinds is not None:
-                    new[r.a] = (list(r.new_kinds), list(r.new_marks))
-        return pd.DataFrame([(pdf.file_id.iloc[0], a, b) for a, b in match_fields(old, new, seen, accept)], columns=["file_id", "old_field", "new_field"])
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for file_id, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                old = {r["a"]: (r["old_kinds"], r["old_marks"]) for r in rows if not r["n"] and r["old_kinds"] is not None}
+                new = {r["a"]: (r["new_kinds"], r["new_marks"]) for r in rows if not r["n"] and r["new_kinds"] is not None}
+                both = {(r["a"], r["b"]): (r["n"], r["same"]) for r in rows if r["n"]}
+                out += [(file_id, a, b) for a, b in match_fields(old, new, both, accept)]
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["file_id", "old_field", "new_field"])
 
     # few bytes but much work a row: the exchange must not be merged into a few partitions by size
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return graph.repartition(n, "file_id").groupBy("file_id").applyInPandas(select, "file_id long, old_field string, new_field string")
+    each = graph.repartition(n, "file_id").groupBy("file_id").agg(F.collect_list(F.struct(*[c for c in graph.columns if c != "file_id"])).alias("rows"))
+    return each.mapInArrow(select, "file_id long, old_field string, new_field string")
 
 
 def changes(files: DataFrame, lines: DataFrame, accept: float = ACCEPT) -> DataFrame:
