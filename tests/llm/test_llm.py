@@ -63,9 +63,9 @@ def test_large_classes_are_paired_in_parts(spark, monkeypatch):
 
 def test_map_models(spark):
     canon = spark.createDataFrame([(1, "Acme", "AB-1234P"), (2, "Acme", "AB-1234"), (3, "Zenith", "QX 720mkII"), (4, "Zenith", "QX 720II"), (5, "Acme", "CD-5678W")], "canon_id long, manufacturer string, model string")
-    typed = ["ab 1234p", "AB/1234 (ES)", "Zenith QX720 Mk2", "QX-720II/model 1", "AB-1234R", "CD-567W", "CD-5778W", "CD-56t8W", "home-built clone", "", None, "  ", "CDD-5678W"]
+    typed = ["ab 1234p", "AB/1234 (ES)", "Zenith QX720 Mk2", "QX-720II/model 1", "AB-1234R", "CD-567W", "CD-5778W", "CD-56t8W", "home-built clone", "", None, "  ", "CDD-5678W", "C5D-678W", "CD-567W8", "AB-1Z34P", "A-1234P", "X-1234P"]
     got = {r.id: r.canon_id for r in canon_map.map_models(spark.createDataFrame([(i, None if i % 2 else "Acme Corp.", t) for i, t in enumerate(typed)], "entry_id long, match_manufacturer string, match_model string"), canon).collect()}
-    assert got == {0: 1, 1: 2, 2: 3, 3: 4, 4: -1, 5: 5, 6: -1, 7: 5, 8: -1, 12: 5}
+    assert got == {0: 1, 1: 2, 2: 3, 3: 4, 4: -1, 5: 5, 6: -1, 7: 5, 8: -1, 12: 5, 13: 5, 14: 5, 15: 1, 16: 1, 17: -1}
 
 
 def test_repair_meets_several_lookalikes(spark):
@@ -77,12 +77,12 @@ def test_repair_meets_several_lookalikes(spark):
 
 def test_map_regions(spark):
     canon = spark.createDataFrame([(1, "Japan", "jp", "日本"), (2, "Saudi Arabia", "sa", "السعودية"), (3, "Iran", "ir", "ایران"), (4, "Iraq", "iq", "العراق"), (5, "UK", "gb", "United Kingdom"), (6, "Italy", "it", "Italia")], "region_id long, region string, code string, local_name string")
-    typed = ["japan", "JP - Japan", "日本 / Iran", "Saudi Aarbia; ITALY", "worldwide", None, " ", "Iraq", "United ingdom only", "(IT)", "Japn (export version)", "Atlantis", "iran, late model", "JAPAN", "Great Britain"]
+    typed = ["japan", "JP - Japan", "日本 / Iran", "Saudi Aarbia; ITALY", "worldwide", None, " ", "Iraq", "United ingdom only", "(IT)", "Japn (export version)", "Atlantis", "iran, late model", "JAPAN", "Great Britain", "Japan only", "Italy only", "only Iraq"]
     rows = canon_map.map_regions(spark.createDataFrame(list(enumerate(typed)), "rec_id long, region string"), canon).collect()
     got = {}
     for r in rows:
         got.setdefault(r.id, set()).add(r.canon_id)
-    assert got == {0: {1}, 1: {1}, 2: {1, 3}, 3: {2, 6}, 4: {-1}, 7: {4}, 8: {5}, 9: {6}, 10: {1}, 11: {-1}, 12: {3}, 13: {1}, 14: {5}}
+    assert got == {0: {1}, 1: {1}, 2: {1, 3}, 3: {2, 6}, 4: {-1}, 7: {4}, 8: {5}, 9: {6}, 10: {1}, 11: {-1}, 12: {3}, 13: {1}, 14: {5}, 15: {1}, 16: {6}, 17: {4}}
 
 
 def test_typing_cost():
