@@ -57,12 +57,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks with the shares of the item's passage and question that the document holds, in thousandths."""
+    got = leakage.leak_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return got.select("doc_id", "item_id", *[F.round(F.col(c) * 1000).cast("int").alias(c) for c in ("passage_share", "question_share")])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_confidence, p1_classes, p3_found, p5_found, p5_truth, p5_survivors, p6_containers, p7_found, p8_found)
+    own = (p1_found, p1_confidence, p1_classes, p3_found, p5_found, p5_truth, p5_survivors, p6_containers, p7_found, p7_overlap, p8_found)
     return {f.__name__: f for f in own}
 
 

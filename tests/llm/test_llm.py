@@ -236,7 +236,14 @@ def test_find_leaks(spark):
     it = spark.createDataFrame([(10, item), (11, other), (12, ja), (13, None), (14, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, it).collect()}
     assert got == {(1, 10), (6, 12), (8, 10), (9, 11)}
-    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, it, block_items=2).collect()} == got
+    for size in (40, 150, 400):  # several blocks
+        assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, it, block_bytes=size).collect()} == got
+    named = it.withColumn("item_id", F.concat(F.lit("i"), "item_id"))
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, named, block_bytes=150).collect()} == {(a, f"i{b}") for a, b in got}
+    # a question that both items ask is reported for both if that is asked for
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, it, stock=True).collect()} == got | {(3, 10), (3, 11), (9, 10)}
+    share = {(r.doc_id, r.item_id): (r.passage_share, r.question_share) for r in leakage.leak_overlaps(d, it).collect()}
+    assert set(share) == got and share[9, 11] == (1.0, 1.0) and share[1, 10][0] > 0.7 and share[1, 10][1] == 0 and share[6, 12][1] is None
     assert leakage.find_leaks(d, it.limit(0)).count() == leakage.find_leaks(d.limit(0), it).count() == 0
 
 
