@@ -1,14 +1,16 @@
 """Sentence boundaries in any language and script, as code point offsets.
 
-A pushdown automaton runs over the marks of each block of text: a stack holds open quotations and brackets, so nothing
-inside them ends a sentence; abbreviations come from a table by what may follow them; scripts without blanks or capitals
-end at their own terminators. The language column is not used: it may be missing or wrong.
+A pushdown automaton runs once over the marks of each block of text. Its stack holds the open list levels, quotations and
+brackets; what ends inside a quotation is undone when that closes, and stands if it never does. Abbreviations are found by
+walking tries backwards from a point; scripts without blanks or capitals end at their own terminators. The time taken is linear
+in the text. The language column is not used: it may be missing or wrong.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,10 +64,14 @@ _CLOSE = frozenset(")]}）］】〕」』》〉»”›")
 _EMOTICON = r"(?:(?<=[\s.!?…。！？])(?:[:;=][-'^o]?[)(\]DPp|]|\^_+\^|[xX]D|<3)(?![\w(])|[☀-➿\U0001F000-\U0001FAFF]️?)"
 _EVENT = re.compile(rf"(?P<emo>{_EMOTICON})|(?P<term>[.!?…。！？।॥؟۔｡．]+)|(?P<pair>[()\[\]{{}}（）［］【】〔〕「」『』《》〈〉«»„“”‚‹›\"])|(?P<thai>(?<=[฀-๿])\s+)")
 _EMO_NEXT = re.compile(rf"\s*{_EMOTICON}")
+_TOKEN_END = re.compile(r"[\s()\[\]\"'„“«»,;:!?/]")
+_WORDS = re.compile(r"\w+")
+_GLUED = re.compile(r"\w[\w'’-]*")
+_BLANK = re.compile(r"\s*")
 _BLOCK = re.compile(r"(?:[^\n]|\n(?![^\S\n]*(?:\n|\Z)))+")
 _MARKER = re.compile(r"\n[^\S\n]*(?:(?P<bullet>[-*•◦▪‣·●○■□]+[^\S\n]+)|(?P<number>\(?(?:\d{1,2}|[a-z])\)[^\S\n]+|\d{1,2}\.[^\S\n]+))(?=\S)")
-_BEFORE = re.compile(r"[^\s()\[\]\"'„“«»,;:!?/]*\Z")
 _WORD_BEFORE = re.compile(r"([\w.]+)[^\S\n]*\n?[^\S\n]*\Z")
+_FIRST = re.compile(r"\s*\(?(\d{1,2}|[a-z])[.)]\s")
 _WIDE = frozenset("。！？｡．")
 
 
@@ -74,180 +80,281 @@ def _begins(c: str) -> bool:
     return c.isupper() or c.istitle() or c.isdigit() or c in "¿¡\"«„“‘'([{（［「『【《—–-*•#<_^:;" or (c.isalpha() and not c.islower()) or ord(c) > 0x2600
 
 
-def _goes_on(text: str, start: int, at: int, after: str) -> bool:
-    """Does the text after a point that may end a sentence read on? `after`: the text from its next character on. In all
-    capitals only words can tell; a sentence of few words is not over yet."""
-    word = re.match(r"\w+", after)
-    if word is None:
-        return False
-    w = word.group()
-    if w[0].islower():
-        return not any(x.isupper() for x in w)
-    so_far = text[start:at]
-    if not w.isupper() or any(x.islower() for x in so_far) or sum(x.isupper() for x in so_far) < 4:
-        return False
-    return w.lower() in GOES_ON or len(so_far.split()) <= 3
+class Trie:
+    """Words by their last letter first, each with a label; walked backwards from a place in a text."""
 
+    def __init__(self, words: dict[str, str]):
+        self.root: dict = {}
+        for word, label in words.items():
+            node = self.root
+            for c in reversed(word):
+                node = node.setdefault(c, {})
+            node[""] = label
 
-def _ends_at_dot(text: str, start: int, at: int, after: str, lower: bool) -> bool:
-    """Does the single point at `at` end the sentence begun at `start`? `after`: the next character that is no blank."""
-    token = _BEFORE.search(text, max(start, at - 24), at).group().lstrip("-.")
-    if not token:
-        return True
-    word = token.lower()
-    head = text[max(0, at - len(token) - 14) : at - len(token)]
-    before = m.group(1).lower() if (m := _WORD_BEFORE.search(head)) else ""
-    begins_here = not text[start : at - len(token)].strip()
-    if word in NUMBERED and after.isdigit():
-        return False
-    if word == "г":  # a year's mark may end a sentence, a town's never
-        return bool(before) and before[-1].isdigit() and not lower
-    if word == "ee" or (word == "co" and text[at + 1 : at + 8].lstrip().lower().startswith(("ltd", "inc", "kg"))):
-        return False
-    if word in MAY or word.rpartition("-")[2] in MAY:
-        return not lower
-    if word in NEVER:
-        return False
-    if len(token) == 1 and token.isalpha():
-        if token.isupper() and before[-1:].isdigit():  # 15 A. is a measure
-            return True
-        return not (token.isupper() or lower or after.isdigit() or token in "pszdhbuot") if token.isascii() else not (lower or token.isupper())
-    if word.isdigit():
-        if begins_here and len(word) <= 3:  # '2. Memory'
-            return False
-        return not (len(word) <= 2 and before in ORDINAL_BEFORE)
-    if "." in token and lower:  # x.y. in the middle
-        return token.rpartition(".")[2].isdigit()
-    if lower and len(word) <= 4 and word.isascii() and word.isalpha() and not re.search("[aeiouy]", word):
-        return False
-    return True
+    def longest(self, text: str, at: int, lo: int = 0) -> tuple[str | None, int]:
+        """(label, start) of the longest word that ends before `at` and begins at `lo` or later; (None, at) if there is none."""
+        node, found = self.root, (None, at)
+        while True:
+            if "" in node:
+                found = (node[""], at)
+            if at <= lo:
+                return found
+            for c in text[at - 1].lower():
+                node = node.get(c)
+                if node is None:
+                    return found
+            at -= 1
 
+    def label(self, text: str, lo: int, at: int) -> str | None:
+        """Label of exactly text[lo:at]."""
+        label, start = self.longest(text, at, lo)
+        return label if start == lo and at > lo else None
 
-def _pairs(block: str, events: list[re.Match]) -> dict[int, int]:
-    """Openers of quotations and brackets and where they close. Marks without a partner in the block are left out."""
-    stack: list[tuple[int, str]] = []
-    found: dict[int, int] = {}
-    for e in events:
-        if e.lastgroup != "pair":
-            continue
-        c, i = e.group(), e.start()
-        hit = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 5), -1) if c in _OPEN[stack[k][1]]), None)
-        straight = c == '"'
-        if hit is not None and not (straight and i and block[i - 1].isspace() and i + 1 < len(block) and not block[i + 1].isspace()):
-            found[stack[hit][0]] = i
-            del stack[hit:]
-        elif c in _OPEN and not (straight and i and block[i - 1].isdigit()):
-            stack.append((i, c))
-    return found
 
+#: what a point after them means; a word of several kinds has the first that fits
+_NUMBERED = Trie(dict.fromkeys(NUMBERED, "numbered"))
+_ABBREVIATIONS = Trie(dict.fromkeys(NEVER, "never") | dict.fromkeys(MAY, "may"))
+_ORDINAL = Trie(dict.fromkeys(ORDINAL_BEFORE, "ordinal"))
+_THAI = Trie(dict.fromkeys(THAI_END, "end"))
 
-def _is_heading(block: str) -> bool:
-    """One short line without a final terminator, of which a point follows a number or a single letter only."""
-    s = block.strip()
-    return "\n" not in s and len(s) <= 48 and s[-1] not in '.!?…。！？।؟"”»' and len(s.split()) <= 7 and re.search(r"(?:^|\s)(?:\d+|[A-Z])\.\s", s) is not None
 
+@dataclass
+class _Frame:
+    """What is open: a list level ('list' with its last value), a quotation or a bracket with the marks that close it, and the
+    state to return to when it closes."""
+
+    kind: str
+    at: int
+    closers: str
+    cuts: int
+    start: int
+    skip: int
+    value: str = ""
+
+
+class _Automaton:
+    """Cuts one block of text. `stack` holds list levels below and quotations and brackets of the current item above them."""
+
+    def __init__(self, text: str, out: list[tuple[int, int]]):
+        self.text, self.out = text, out
+        self.stack: list[_Frame] = []
+
+    # list levels -----------------------------------------------------------------------------------------------------------
+    def item(self, value: str) -> bool:
+        """A line that begins with the number or letter `value`: is it the next item of an open list, or the first of a new
+        one? Levels inside the one that goes on are closed."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].value == before_of(value):
+                del self.stack[k + 1 :]
+                self.stack[k].value = value
+                return True
+        if value in ("1", "a"):
+            self.level(value)
+            return True
+        return False
+
+    def level(self, value: str) -> None:
+        self.stack.append(_Frame("list", 0, "", 0, 0, 0, value))
 
-def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
-    block = text[lo:hi]
-    if _is_heading(block):
-        out.append((lo + len(block) - len(block.lstrip()), lo + len(block.rstrip())))
-        return
-    events = list(_EVENT.finditer(block))
-    pairs = _pairs(block, events)
-    n = len(block)
-    start = n - len(block.lstrip())
-    skip, i = -1, 0
+    # one item or stretch of running text -----------------------------------------------------------------------------------
+    def run(self, lo: int, hi: int) -> None:
+        self.lo, self.block = lo, self.text[lo:hi]
+        block = self.block
+        if _is_heading(block):
+            self.out.append((lo + len(block) - len(block.lstrip()), lo + len(block.rstrip())))
+            return
+        self.n = n = len(block)
+        self.cuts: list[tuple[int, int]] = []
+        self.start, self.skip = _BLANK.match(block).end(), -1
+        self.token_at = self.seen = 0
+        self.base = len(self.stack)
+        #: how many open frames each mark would close
+        self.waiting: dict[str, int] = {}
+        for e in _EVENT.finditer(block):
+            kind, i = e.lastgroup, e.start()
+            if kind == "pair":
+                self.pair(e.group(), i)
+            elif i >= self.skip and i >= self.start:
+                if kind == "thai":
+                    if _THAI.longest(block, i)[0]:
+                        self.close(e.end())
+                elif kind == "emo":
+                    self.emoticon(e.end())
+                elif not self.terminator(e):
+                    break
+        self.close(n)
+        del self.stack[self.base :]
+        self.out += [(lo + a, lo + b) for a, b in self.cuts]
 
-    def close(end: int) -> int:
+    def close(self, end: int) -> None:
         """End the sentence before `end`; the next begins after the blanks."""
-        nonlocal start
-        e = end
-        while e > start and block[e - 1].isspace():
+        block, e = self.block, end
+        while e > self.start and block[e - 1].isspace():
             e -= 1
-        if e > start:
-            out.append((lo + start, lo + e))
-        while end < n and block[end].isspace():
-            end += 1
-        start = end
-        return end
+        if e > self.start:
+            self.cuts.append((self.start, e))
+        self.start = _BLANK.match(block, end).end()
 
-    for e in events:
-        i = e.start()
-        if i < skip or i < start:
-            continue
-        kind, end = e.lastgroup, e.end()
-        if kind == "thai":
-            if block[:i].endswith(THAI_END):
-                close(end)
-            continue
-        if kind == "pair":
-            if i not in pairs:
-                continue
-            shut = pairs[i]
-            skip = shut + 1
-            inner = block[i + 1 : shut].rstrip()
-            if not inner or inner[-1] not in ".!?…。！？।؟":
-                continue
-            opened = not block[start:i].strip()
-            rest = block[skip:]
-            after = rest.lstrip()
-            if not after:
-                continue
-            c, gap = after[0], len(rest) - len(after)
-            if e.group() in _BRACKETS:
-                if opened and _begins(c):
-                    close(skip)
-            elif gap and not _goes_on(block, start, skip, after) and (c.isalpha() and c.upper() != c.lower() or c.isdigit() or c in "¿¡([" or (c in '"«„“' and not opened)):
-                if not (opened and block[start:skip].isupper()):
-                    close(skip)
-            continue
-        if kind == "emo":
-            rest = block[end:]
-            after = rest.lstrip()
-            if after and len(after) < len(rest) and (_begins(after[0]) or after[0] in _OPEN) and not _EMO_NEXT.match(rest):
-                close(end)
-            continue
-        mark = e.group()
+    def pair(self, c: str, i: int) -> None:
+        """An opening or closing mark. A mark closes the nearest open one that it fits, with all inside it; others say nothing."""
+        block, straight = self.block, c == '"'
+        opens = straight and i and block[i - 1].isspace() and i + 1 < self.n and not block[i + 1].isspace()
+        if self.waiting.get(c) and not opens:
+            while True:
+                f = self.stack.pop()
+                for x in f.closers:
+                    self.waiting[x] -= 1
+                if c in f.closers:
+                    break
+            del self.cuts[f.cuts :]
+            self.start, self.skip = f.start, f.skip
+            if f.at >= self.skip and f.at >= self.start:
+                self.closed(f, i)
+        elif c in _OPEN and not (straight and i and block[i - 1].isdigit()):
+            closers = _OPEN[c]
+            self.stack.append(_Frame("bracket" if c in _BRACKETS else "quote", i, closers, len(self.cuts), self.start, self.skip))
+            for x in closers:
+                self.waiting[x] = self.waiting.get(x, 0) + 1
+
+    def closed(self, f: _Frame, shut: int) -> None:
+        """A quotation or bracket has closed: does what follows begin a new sentence?"""
+        block, skip = self.block, shut + 1
+        self.skip = skip
+        inner = shut
+        while inner > f.at + 1 and block[inner - 1].isspace():
+            inner -= 1
+        if inner == f.at + 1 or block[inner - 1] not in ".!?…。！？।؟":
+            return
+        opened = self.start == f.at
+        k = _BLANK.match(block, skip).end()
+        if k >= self.n:
+            return
+        c = block[k]
+        if f.kind == "bracket":
+            if opened and _begins(c):
+                self.close(skip)
+        elif k > skip and not self.goes_on(skip, k) and (c.isalpha() and c.upper() != c.lower() or c.isdigit() or c in "¿¡([" or (c in '"«„“' and not opened)):
+            if not (opened and block[f.at : skip].isupper()):
+                self.close(skip)
+
+    def emoticon(self, end: int) -> None:
+        block = self.block
+        k = _BLANK.match(block, end).end()
+        if end < k < self.n and (_begins(block[k]) or block[k] in _OPEN) and not _EMO_NEXT.match(block, end):
+            self.close(end)
+
+    def terminator(self, e: re.Match) -> bool:
+        """A run of terminators, with the marks it closes behind it. False at the end of the block."""
+        block, n, i, end, mark = self.block, self.n, e.start(), e.end(), e.group()
         while end < n and block[end] in _CLOSE:
             end += 1
         if end < n and block[end] in "\"'’“" and (end + 1 >= n or block[end + 1].isspace()):
             end += 1
         while (m := _EMO_NEXT.match(block, end)) is not None:
             end = m.end()
-        skip = max(skip, end)
-        if end >= n:
-            break
-        rest = block[end : end + 400]
-        after = rest.lstrip()
-        gap = len(rest) - len(after)
-        c = after[:1]
-        if not c:
-            continue
+        self.skip = max(self.skip, end)
+        k = _BLANK.match(block, end).end()
+        if k >= n:
+            return True
+        c = block[k]
         if mark[-1] in _WIDE:
             if c not in "、，,」』）)":
-                close(end)
-            continue
-        if not gap:
+                self.close(end)
+        elif k == end:
             # no blank follows: marks of scripts that need none end a sentence, others only where a blank was left out
-            glued = re.match(r"\w[\w'’-]*", after)
             if mark[-1] in "।॥؟۔" and c.isalpha():
-                close(end)
-            elif c.isalpha() and glued and len(mark) < 3 and any(x.isupper() for x in glued.group()) and not (glued.group().isupper() and (2 <= len(glued.group()) <= 4 or not block[end + len(glued.group()) : end + 1 + len(glued.group())].isspace())) and end == e.end():
-                token = _BEFORE.search(block, max(start, i - 24), i).group()
-                if (len(token) > 2 or token.isdigit()) and (mark != "." or _ends_at_dot(block, start, i, c, False)) and "/" not in block[max(start, i - 12) : i] and not token.lower().startswith("www"):
-                    close(end)
-            continue
-        lower = _goes_on(block, start, i, after)
-        if c in ",;:)]}»”、，…" or (c in "—–" and after[1:2].isspace()):
-            continue
-        if (mark == "…" or mark.endswith("..")) and lower:
-            continue
-        if mark == "." and not _ends_at_dot(block, start, i, c, lower):
-            continue
-        if mark[-1] in ".…" and not (_begins(c) or c.islower()):
-            continue
-        close(end)
-    close(n)
+                self.close(end)
+            elif c.isalpha() and len(mark) < 3 and end == e.end() and (m := _GLUED.match(block, k)) and any(x.isupper() for x in m.group()):
+                if not (m.group().isupper() and (2 <= len(m.group()) <= 4 or not block[m.end() : m.end() + 1].isspace())):
+                    lo = self.token(i)
+                    if (i - lo > 2 or block[lo:i].isdigit()) and (mark != "." or self.ends_at_dot(i, c, False)) and "/" not in block[max(self.start, i - 12) : i] and not block[lo : lo + 3].lower().startswith("www"):
+                        self.close(end)
+        else:
+            lower = self.goes_on(i, k)
+            if c in ",;:)]}»”、，…" or (c in "—–" and block[k + 1 : k + 2].isspace()):
+                pass
+            elif (mark == "…" or mark.endswith("..")) and lower or mark == "." and not self.ends_at_dot(i, c, lower) or mark[-1] in ".…" and not (_begins(c) or c.islower()):
+                pass
+            else:
+                self.close(end)
+        return True
+
+    def token(self, at: int) -> int:
+        """Where the word before `at` begins. Places are asked for from left to right, so the text is gone over once."""
+        if self.seen > at:
+            self.token_at = self.seen = 0
+        for m in _TOKEN_END.finditer(self.block, self.seen, at):
+            self.token_at = m.end()
+        self.seen = at
+        return max(self.token_at, self.start)
+
+    def goes_on(self, at: int, k: int) -> bool:
+        """Does the text from `k` on read on after a point at `at` that may end the sentence? In all capitals only words can tell;
+        a sentence of few words is not over yet."""
+        block = self.block
+        m = _WORDS.match(block, k)
+        if m is None:
+            return False
+        w = m.group()
+        if w[0].islower():
+            # the rest of the block decides only whether it has capitals at all
+            return not any(x.isupper() for x in w)
+        if not w.isupper():
+            return False
+        capitals = words = 0
+        inside = False
+        for j in range(self.start, at):
+            x = block[j]
+            if x.islower():
+                return False
+            capitals += x.isupper()
+            words += not x.isspace() and not inside
+            inside = not x.isspace()
+            if words > 3 and capitals >= 4 and j - self.start > 64:
+                break  # a long stretch of capitals is enough to go by
+        return capitals >= 4 and (w.lower() in GOES_ON or words <= 3)
+
+    def ends_at_dot(self, at: int, after: str, lower: bool) -> bool:
+        """Does the single point at `at` end the sentence? `after`: the next character that is no blank."""
+        block, lo = self.block, self.token(at)
+        while lo < at and block[lo] in "-.":
+            lo += 1
+        if lo == at:
+            return True
+        size = at - lo
+        # of a very long word only its end matters
+        word = block[max(lo, at - 64) : at].lower()
+        m = _WORD_BEFORE.search(block[max(0, lo - 14) : lo])
+        before = m.group(1).lower() if m else ""
+        if after.isdigit() and _NUMBERED.label(block, lo, at):
+            return False
+        if word == "г":  # a year's mark may end a sentence, a town's never
+            return bool(before) and before[-1].isdigit() and not lower
+        if word == "ee" or (word == "co" and block[at + 1 : at + 8].lstrip().lower().startswith(("ltd", "inc", "kg"))):
+            return False
+        label, begins = _ABBREVIATIONS.longest(block, at, lo)
+        if label and begins == lo:
+            return label == "may" and not lower
+        if label == "may" and block[begins - 1] == "-":
+            return not lower
+        token = block[lo:at] if size <= 64 else word
+        if size == 1 and token.isalpha():
+            if token.isupper() and before[-1:].isdigit():  # 15 A. is a measure
+                return True
+            return not (token.isupper() or lower or after.isdigit() or token in "pszdhbuot") if token.isascii() else not (lower or token.isupper())
+        if word.isdigit():
+            if self.start >= lo and size <= 3:  # '2. Memory'
+                return False
+            return not (size <= 2 and _ORDINAL.label(before, 0, len(before)))
+        if "." in token and lower:  # x.y. in the middle
+            return token.rpartition(".")[2].isdigit()
+        return not (lower and size <= 4 and word.isascii() and word.isalpha() and not re.search("[aeiouy]", word))
+
+
+def _is_heading(block: str) -> bool:
+    """One short line without a final terminator, of which a point follows a number or a single letter only."""
+    s = block.strip()
+    return "\n" not in s and len(s) <= 48 and s[-1] not in '.!?…。！？।؟"”»' and len(s.split()) <= 7 and re.search(r"(?:^|\s)(?:\d+|[A-Z])\.\s", s) is not None
 
 
 def before_of(value: str) -> str:
@@ -265,24 +372,26 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         lo, hi = block.span()
         if not block.group().strip():
             continue
-        at, cuts, numbers = lo, [], set()
-        if (first := re.match(r"\s*\(?(\d{1,2}|[a-z])[.)]\s", text[lo:hi])) is not None:
-            numbers.add(first.group(1))
-        body = "\n" + text[lo:hi].lstrip("\n") if text[lo] == "\n" else text[lo:hi]
+        machine = _Automaton(text, out)
+        at, block = lo, text[lo:hi]
+        if (first := _FIRST.match(block)) is not None:
+            machine.level(first.group(1))
+        body = "\n" + block.lstrip("\n") if text[lo] == "\n" else block
         shift = hi - len(body)
         for m in _MARKER.finditer(body):
             if m.group("number"):
                 # a wrapped line may begin with a number too: items of a list are counted from one
-                line = body[: m.start()].rstrip()
-                value = m.group("number").strip("(). \t")
-                if not line or line[-1] not in ".!?:;…。！？" or not (value in ("1", "a") or before_of(value) in numbers):
+                end = m.start()
+                while end and body[end - 1].isspace():
+                    end -= 1
+                if not end or body[end - 1] not in ".!?:;…。！？" or not machine.item(m.group("number").strip("(). \t")):
                     continue
-                numbers.add(value)
-            cuts.append(shift + m.start())
-        for c in [*cuts, hi]:
-            if c > at and text[at:c].strip():
-                _cut_block(text, at, c, out)
+            c = shift + m.start()
+            if c > at and not text[at:c].isspace():
+                machine.run(at, c)
             at = c
+        if hi > at and not text[at:hi].isspace():
+            machine.run(at, hi)
     return out
 
 

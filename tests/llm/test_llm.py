@@ -272,6 +272,31 @@ def test_sentences(text, parts):
     assert cut(text) == parts if text else sentences.sentence_spans(text) == parts
 
 
+def test_nested_lists_and_deep_quotations():
+    text = "Parts:\n1. Board.\na) Left side.\nb) Right side.\n2. Case. It is big.\nIt weighs\n3) kilos.\n- Loose ends.\n3. Cable."
+    assert cut(text) == ["Parts:", "1. Board.", "a) Left side.", "b) Right side.", "2. Case.", "It is big.", "It weighs\n3) kilos.", "- Loose ends.", "3. Cable."]
+    inner = "Stop. " * 3
+    deep = "He read " + "".join("([{«"[k % 4] for k in range(12)) + inner + "".join(")]}»"[k % 4] for k in reversed(range(12))) + " aloud. Then he left."
+    assert cut(deep) == [deep[: deep.index(" Then")], "Then he left."]
+    # a quotation that never closes hides nothing, whatever is open inside it
+    assert cut('"One (two. Three) four. Five. Six') == ['"One (two. Three) four.', "Five.", "Six"]
+    many = "(" * 5000 + " Alpha ran. Beta sat. " + "]" * 5000
+    assert cut(many)[1].startswith("Beta sat.")
+
+
+def test_time_is_linear():
+    import time
+
+    def took(text):
+        at = time.perf_counter()
+        sentences.sentence_spans(text)
+        return time.perf_counter() - at
+
+    for unit in ("เปิดแล้วครับ ราคา บาทค่ะ ไม่มี จบ ", "x.y.", '"a" ', "( ", "ab. ", "AB CD. OF ", "word ", "[x "):
+        small, large = min(took(unit * (50_000 // len(unit))) for _ in range(2)), took(unit * (1_000_000 // len(unit)))
+        assert large < 60 * small + 0.5, unit
+
+
 def test_sentence_ranges_are_ordered_and_tight(spark):
     rng = random.Random(4)
     bits = ["Dr. ", "A. ", '"', "(", ")", "word ", "! ", "? ", ".\n", "\n\n", "\n- ", "。", "「", "」", ":-) ", "1. ", "e.g. ", "x", " ", "É", "«", "»", "..."]
