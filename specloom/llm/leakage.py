@@ -17,6 +17,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +37,20 @@ _TAG = re.compile(r"<[^<>\n]{1,80}>|&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8
 _LONG = re.compile(r"""<(?![^<>\n]{1,80}>)(?=[^<>]*=|[^<>]{1,80}>)/?[a-zA-Z][\w:-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+)*+\s*+/?>""")
 _NONE = re.compile("[­​-‏⁠﻿̀-゙゚ͯ︎️]+")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W_぀-ヿ㐀-鿿豈-﫿]+")
+_ASCII = re.compile("[a-z0-9]+")
+_LIKE = re.compile("[" + "".join(map(chr, LOOKALIKES)) + "]")
 _ASKS = re.compile(r"(?:[?？؟]|か[。．]?)[\s\"'”’»」』)]*\Z")
 _IDEO = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
 def words(text: str) -> list[str]:
     """Words without case, accents, look-alikes, punctuation, spacing and mark-up."""
-    t = _TAG.sub(" ", _LONG.sub(" ", text))
-    t = _NONE.sub("", unicodedata.normalize("NFKD", t)).casefold().translate(LOOKALIKES)
-    return _WORD.findall(t)
+    t = _LONG.sub(" ", text) if "<" in text else text
+    t = _TAG.sub(" ", t) if "<" in t or "&" in t else t
+    if t.isascii():
+        return _ASCII.findall(t.lower())
+    t = _NONE.sub("", unicodedata.normalize("NFKD", t)).casefold()
+    return _WORD.findall(t.translate(LOOKALIKES) if _LIKE.search(t) else t)
 
 
 def sentence_key(ws: list[str]) -> int:
@@ -87,6 +93,8 @@ class ItemIndex:
         #: per item: word pairs of its passage and of its question, the last sentence if that asks
         self.sides: list[tuple[frozenset, frozenset]] = []
         longest = max([ideo_run, run])
+        #: word pairs that the least of all leaks holds
+        self.least = longest
         for k, c in enumerate(coded):
             asks = bool(sents[k]) and _ASKS.search((items[k][1] or "").rstrip()) is not None
             body = sents[k][:-1] if asks else sents[k]
@@ -108,10 +116,12 @@ class ItemIndex:
                 kept = sorted(weight.get(p, 0.0) for p in distinct)[: max(0, len(distinct) - 2 * e)]
                 bounds.append(sum(kept))
                 longest = max(longest, len(s) + e)
+                self.least = min(self.least, max(1, len(distinct) - 2 * e))
             r = self.run[k]
             for i in range(len(c) - r + 1):
                 g = tuple(c[i : i + r])
                 bounds.append(sum(weight[p] for p in set(zip(g, g[1:]))))
+                self.least = min(self.least, max(1, len(set(zip(g, g[1:])))))
                 if len(g) > 1:
                     self.probes.add(min(zip(g, g[1:]), key=lambda p: (df[p], p)))
                 if k not in (at := self.runs.setdefault(g, [])):
@@ -134,28 +144,31 @@ class ItemIndex:
 
     def retrieve(self, terms: list[tuple[int, int]]) -> list[int]:
         """Block-max WAND: all items whose score over `terms`, in units of their threshold, is at least 1."""
-        lists = [[self.postings[t], 0, self.blocks[t][1], self.blocks[t][0]] for t in terms]
-        if sum(x[2] for x in lists) < 1:
+        lists = [[posting[0][0], 0, *self.blocks[t], posting] for t in terms for posting in (self.postings[t],)]
+        if sum(x[3] for x in lists) < 1:
             return []
-        out, size = [], self.block
-        lists.sort(key=lambda x: x[0][0][0])
+        out, size, current = [], self.block, itemgetter(0)
+        lists.sort(key=current)
         while lists:
             bound, pivot = 0.0, -1
             for j, x in enumerate(lists):
-                bound += x[2]
+                bound += x[3]
                 if bound >= 1:
                     pivot = j
                     break
             if pivot < 0:
                 break
-            item = lists[pivot][0][lists[pivot][1]][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][1]][0] == item:
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
-            near = item // size
-            if sum(x[3].get(near, 0.0) for x in lists[: pivot + 1]) >= 1:
-                if lists[0][0][lists[0][1]][0] == item:
-                    score = sum(x[0][x[1]][1] for x in lists[: pivot + 1])
-                    if score >= 1:
+            near, bound = item // size, 0.0
+            for j in range(pivot + 1):
+                bound += lists[j][2].get(near, 0.0)
+                if bound >= 1:
+                    break
+            if bound >= 1:
+                if lists[0][0] == item:
+                    if sum(x[4][x[1]][1] for x in lists[: pivot + 1]) >= 1:
                         out.append(item)
                     goal = item + 1
                 else:
@@ -164,16 +177,21 @@ class ItemIndex:
                 # no item of this block can score enough with these lists: skip to the next block or list
                 goal = (near + 1) * size
                 if pivot + 1 < len(lists):
-                    goal = min(goal, lists[pivot + 1][0][lists[pivot + 1][1]][0])
+                    goal = min(goal, lists[pivot + 1][0])
                 goal = max(goal, item + 1)
-            moved, rest = [], lists[pivot + 1 :]
+            over = False
             for x in lists[: pivot + 1]:
-                if x[0][x[1]][0] < goal:
-                    x[1] = bisect_left(x[0], (goal,), x[1])
-                if x[1] < len(x[0]):
-                    moved.append(x)
-            lists = moved + rest
-            lists.sort(key=lambda x: x[0][x[1]][0])
+                if x[0] < goal:
+                    posting, k = x[4], x[1] + 1
+                    if k < len(posting) and posting[k][0] < goal:
+                        k = bisect_left(posting, (goal,), k)
+                    if k < len(posting):
+                        x[0], x[1] = posting[k][0], k
+                    else:
+                        x[0], over = -1, True
+            if over:
+                lists = [x for x in lists if x[0] >= 0]
+            lists.sort(key=current)
         return out
 
     def probe_words(self) -> list[str]:
@@ -197,19 +215,28 @@ class ItemIndex:
             return found
         postings = self.postings
         hits = [p if p in postings else None for p in zip(ids, ids[1:])]
-        at = 0
-        while at < n:
-            end = min(n, at + self.window)
-            part = hits[at : end - 1]
-            terms = set(part)
-            terms.discard(None)
-            if terms:
-                cands = [k for k in self.retrieve(list(terms)) if k not in found]
+        at = [i for i, p in enumerate(hits) if p is not None]
+        least, overlap = self.least, self.overlap
+        close = [k for k in range(len(at) - least + 1) if at[k + least - 1] - at[k] <= overlap]
+        j = 0
+        while j < len(close):
+            # a stretch of places that stand close enough for a leak: a leak's word pairs all lie in one
+            first, last = close[j], close[j] + least - 1
+            while j < len(close) and close[j] <= last:
+                last = close[j] + least - 1
+                j += 1
+            lo, stop = at[first], at[last] + 1
+            while True:
+                hi = min(stop, lo + self.window)
+                terms = set(hits[lo:hi])
+                terms.discard(None)
+                cands = [k for k in self.retrieve(list(terms)) if k not in found] if len(terms) >= least else []
                 if cands:
-                    self._verify(ids[at:end], part, terms, cands, found)
-            if end == n:
-                break
-            at = end - self.overlap
+                    a, b = max(0, lo - overlap), min(n, hi + 1 + overlap)
+                    self._verify(ids[a:b], hits[a : b - 1], terms, cands, found)
+                if hi == stop:
+                    break
+                lo = hi - overlap
         return found
 
     def _verify(self, ids: list[int], part: list, terms: set, cands: list[int], found: set[int]) -> None:
@@ -222,10 +249,15 @@ class ItemIndex:
                     hit = left.intersection(self.runs.get(tuple(ids[i + 2 - r : i + 2]), ()))
                     found |= hit
                     left -= hit
+        places: dict[tuple, list[int]] = {}
+        for i, p in enumerate(part):
+            if p is not None:
+                places.setdefault(p, []).append(i)
         for k in left:
             for s, distinct, e, masks in self.sentences[k]:
                 need = len(distinct) - 2 * e
-                if len(distinct & terms) >= need and within(len(s), masks, ids, [i for i, p in enumerate(part) if p in distinct], need, e):
+                both = distinct & terms
+                if len(both) >= need and within(len(s), masks, ids, sorted(i for p in both for i in places[p]), need, e):
                     found.add(k)
                     break
 
