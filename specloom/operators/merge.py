@@ -79,8 +79,8 @@ def field_rule(name: str, rules: Precedence, left: Column, right: Column, resolv
 def merge(left: DataFrame, right: DataFrame, local: DataFrame | None = None, resolutions: DataFrame | None = None, rules: Precedence = Precedence(), order: str = "ord") -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(merged rows, conflicts) of two scraped sources and a local supplement, joined on the natural key.
 
-    Of duplicates in one source the last by `order` counts. Columns missing on one side are null there. Non-null local
-    fields win over everything. Conflicts keep the left value and are reported as (nk, field, left_value, right_value).
+    Of duplicates in one source the last by `order` counts. Columns missing on one side are null there. Of several resolutions of one
+    field the first by name counts. Non-null local fields win over everything. Conflicts keep the left value and are reported as (nk, field, left_value, right_value).
     Presence flags has_left, has_right, has_local tell where a row came from. Empty inputs give empty outputs.
     """
     a, b = last_per_key(left, order), last_per_key(right, order)
@@ -90,7 +90,8 @@ def merge(left: DataFrame, right: DataFrame, local: DataFrame | None = None, res
     j = side(a, "l").join(side(b, "r"), "nk", "full_outer")
     chosen = F.lit(None).cast("map<string,string>")
     if resolutions is not None:
-        per = resolutions.groupBy("nk").agg(F.map_from_entries(F.collect_list(F.struct("field", "source"))).alias("res"))
+        one = resolutions.groupBy("nk", "field").agg(F.min("source").alias("source"))
+        per = one.groupBy("nk").agg(F.map_from_entries(F.collect_list(F.struct("field", "source"))).alias("res"))
         j = j.join(per, "nk", "left")
         chosen = F.col("res")
     out, conflicts = [], []

@@ -1,4 +1,7 @@
-"""Permanent surrogate ids: a table (nk, id, retired) that grows and never gives an id twice."""
+"""Permanent surrogate ids: a table (nk, id, retired) that grows and never gives an id twice.
+
+Where the highest id that was ever given belongs to no key any more, a row without a key (nk null, retired) holds its place.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from specloom.session import cut
 
@@ -18,15 +20,22 @@ LAST = 65535
 
 
 def load(spark: SparkSession, path: str | Path) -> DataFrame:
-    """A missing file is an empty registry, a corrupt one a ValueError. Older versions' further keys are ignored."""
+    """A missing file is an empty registry, a corrupt one a ValueError. Older versions' further keys are ignored.
+
+    The file's next id counts: ids below it are never given again, though their keys may be gone.
+    """
     p = Path(path)
     if not p.exists():
         return spark.createDataFrame([], SCHEMA)
     try:
         got = json.loads(p.read_text(encoding="utf-8"))
         gone = set(got.get("retired_models", []))
-        return spark.createDataFrame([(k, int(v), int(v) in gone) for k, v in got["models"].items()], SCHEMA)
-    except (KeyError, TypeError, AttributeError, json.JSONDecodeError) as e:
+        rows = [(k, int(v), int(v) in gone) for k, v in got["models"].items()]
+        last = int(got.get("next_model_id", 1)) - 1
+        if last > max((r[1] for r in rows), default=0):
+            rows.append((None, last, True))
+        return spark.createDataFrame(rows, SCHEMA)
+    except (KeyError, TypeError, AttributeError, ValueError, json.JSONDecodeError) as e:
         raise ValueError(f"{path} is no registry: {e}") from e
 
 
@@ -37,7 +46,7 @@ def assign(registry: DataFrame, keys: DataFrame, limit: int = LAST) -> DataFrame
     ranks. Null keys get none. OverflowError beyond `limit`.
     """
     new = keys.select("nk").where("nk is not null").distinct().join(registry.select("nk"), "nk", "left_anti")
-    ranged = cut(new.repartitionByRange("nk").sortWithinPartitions("nk").withColumn("part", F.spark_partition_id()))
+    ranged = cut(new.repartitionByRange("nk").sortWithinPartitions("nk").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
     sizes = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per partition
     top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
     if top + sum(sizes.values()) > limit:
@@ -47,8 +56,8 @@ def assign(registry: DataFrame, keys: DataFrame, limit: int = LAST) -> DataFrame
         starts.append((part, at))
         at += sizes[part]
     shift = registry.sparkSession.createDataFrame(starts, "part int, start int")
-    ranked = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("nk"))).join(F.broadcast(shift), "part")
-    rows = ranked.select("nk", (F.col("start") + F.col("r")).cast("int").alias("id"), F.lit(False).alias("retired"))
+    in_part = F.col("row") - F.shiftleft(F.col("part").cast("long"), 33)
+    rows = ranged.join(F.broadcast(shift), "part").select("nk", (F.col("start") + in_part + 1).cast("int").alias("id"), F.lit(False).alias("retired"))
     return registry.unionByName(rows)
 
 
@@ -61,7 +70,7 @@ def retire(registry: DataFrame, keys: DataFrame) -> DataFrame:
 def save(registry: DataFrame, path: str | Path) -> None:
     """Version 2 file, replaced at once. A registry holds at most 65,535 rows."""
     rows = registry.orderBy("id").collect()
-    doc = {"version": 2, "models": {r.nk: r.id for r in rows}, "retired_models": sorted(r.id for r in rows if r.retired), "next_model_id": max([r.id for r in rows], default=0) + 1}
+    doc = {"version": 2, "models": {r.nk: r.id for r in rows if r.nk is not None}, "retired_models": sorted(r.id for r in rows if r.retired and r.nk is not None), "next_model_id": max([r.id for r in rows], default=0) + 1}
     write_atomic(path, json.dumps(doc, indent=2, ensure_ascii=False))
 
 

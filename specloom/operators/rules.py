@@ -51,8 +51,8 @@ class Aliases:
 
     @classmethod
     def load(cls, path: str | Path) -> Aliases:
-        """A missing file means no aliases."""
-        return cls(_json(path, dict)) if Path(path).exists() else cls({})
+        """A missing file is an error: whoever names one means it."""
+        return cls(_json(path, dict))
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Single-column aliases first, then the first composite rule whose columns are all equal; case is ignored."""
@@ -104,6 +104,11 @@ class Excludes:
         df = df.where(self.file_rule(name).isNull())
         return df.where(~F.rlike(F.col(name), F.lit("^(?:" + "|".join(map(re.escape, skip_prefixes)) + ")"))) if skip_prefixes else df
 
+    def wanted_files(self, names: list[str], skip_prefixes: tuple[str, ...] = ()) -> set[str]:
+        """Of a listing's names those that no file rule and no prefix leaves out."""
+        rules = [re.compile(glob_regex(r["filename"])) for r in self.rules if "filename" in r]
+        return {n for n in names if not n.startswith(skip_prefixes or ("\0",)) and not any(r.search(n) for r in rules)}
+
     def dead(self, models: DataFrame | None, files: DataFrame | None = None) -> list[int]:
         """Rules that were the first match of no row."""
         seen: set[int] = set()
@@ -232,8 +237,8 @@ def load_resolutions(spark: SparkSession, path: str | Path) -> DataFrame:
 
 
 def load_link_shares(spark: SparkSession, path: str | Path) -> DataFrame:
-    """(nk, donor): records that borrow another record's link."""
-    got = _json(path, dict) if Path(path).exists() else {}
+    """(nk, donor): records that borrow another record's link. A missing file is an error."""
+    got = _json(path, dict)
     for k, v in got.items():
         if not isinstance(v, str) or not v or k == v:
             raise ValueError(f"link share {k!r} must name another record")

@@ -50,17 +50,23 @@ def packed(children: DataFrame, wrapper: tuple[str, ...], order: str, size: str
 
 
 def mirrored_outside(devices: DataFrame) -> DataFrame:
-    """Pages of a device's memory outside its visible range, as mirrors of it: (doc, ms, ss, p, abbr)."""
+    """Pages of a device's memory outside its visible range, as mirrors of it: (doc, ms, ss, p, abbr). A mirror is called by what
+    the device is (`label`, where there is one), whatever drives it."""
     d = devices.where("vis_base is not null and vis_size is not null and mem_base is not null")
     gone = F.array_except(pages_of("mem_base", "mem_size"), pages_of("vis_base", "vis_size"))
-    return d.select("doc", "ms", "ss", F.explode(gone).alias("p"), F.concat("abbr", F.lit(MIRROR)).alias("abbr"), "doc_ord")
+    return d.select("doc", "ms", "ss", F.explode(gone).alias("p"), F.concat(_label(devices), F.lit(MIRROR)).alias("abbr"), "doc_ord")
 
 
 def mirrored_beyond(devices: DataFrame) -> DataFrame:
-    """Pages of a device's memory at or beyond the end of its file: (doc, ms, ss, p, abbr). `file_size` null: none."""
-    d = devices.where("file_size is not null and mem_base is not null and vis_base is null")
+    """Pages of a device's memory at or beyond the end of its file: (doc, ms, ss, p, abbr), visible or not. `file_size` null:
+    none."""
+    d = devices.where("file_size is not null and mem_base is not null")
     beyond = F.filter(pages_of("mem_base", "mem_size"), lambda p: p * PAGE - F.col("mem_base") >= F.col("file_size"))
-    return d.select("doc", "ms", "ss", F.explode(beyond).alias("p"), F.concat("abbr", F.lit(MIRROR)).alias("abbr"), "doc_ord")
+    return d.select("doc", "ms", "ss", F.explode(beyond).alias("p"), F.concat(_label(devices), F.lit(MIRROR)).alias("abbr"), "doc_ord")
+
+
+def _label(devices: DataFrame) -> Column:
+    return F.col("label") if "label" in devices.columns else F.col("abbr")
 
 
 def mode_of(df: DataFrame, key: tuple[str, ...], value: str = "abbr") -> DataFrame:
@@ -71,7 +77,7 @@ def mode_of(df: DataFrame, key: tuple[str, ...], value: str = "abbr") -> DataFra
 def mirror_elements(mirrors: DataFrame, pages: DataFrame) -> DataFrame:
     """Explicit mirrors (doc, ms, ss, mem_base, mem_size, mirror_ps, mirror_ss) take the mode of their origin slot.
 
-    Hosts outside 0..3 are dropped; an origin without devices gives none.
+    Hosts outside 0..3 are dropped; a cartridge slot is an origin like any other; an origin without devices gives none.
     """
     origin = mode_of(pages.where(~F.col("abbr").endswith(MIRROR)), ("doc", "ms", "ss")).withColumnsRenamed({"ms": "mirror_ps", "ss": "mirror_ss", "abbr": "origin"})
     m = mirrors.where("ms between 0 and 3 and ss between 0 and 3").withColumn("mirror_ss", F.coalesce("mirror_ss", F.lit(0)))
@@ -90,15 +96,16 @@ def fill(cells: DataFrame, layout: DataFrame) -> DataFrame:
     full = scaffold.join(layout, ["doc", "ms"], "left").join(cells.select("doc", "ms", "ss", "p", "abbr"), ["doc", "ms", "ss", "p"], "left")
     real = F.col("expanded").isNotNull() & ((F.col("ss") == 0) | F.col("expanded"))
     cart = F.when(F.coalesce("external", F.lit(False)) & (F.col("ss") == 0), F.concat(F.lit("CS"), F.col("number").cast("string")))
-    return full.select("doc", "ms", "ss", "p", F.coalesce(cart, F.when(real, F.coalesce("abbr", F.lit(EMPTY))), F.lit(ABSENT)).alias("abbr"))
+    return full.select("doc", "ms", "ss", "p", F.coalesce(F.when(real, F.coalesce("abbr", cart, F.lit(EMPTY))), F.lit(ABSENT)).alias("abbr"))
 
 
 def slot_map(slots: DataFrame, devices: DataFrame, mirrors: DataFrame | None = None) -> DataFrame:
     """The 64-cell map of every document from its slots and classified devices.
 
     `slots`: (doc, doc_ord, ms, ss, external), ss null for primaries; `devices`: (doc, doc_ord, ms, ss, abbr, mem_base,
-    mem_size, vis_base, vis_size, file_size). Stages overwrite one another in this order: devices (first claims a page),
-    pages outside the visible range, pages beyond the file, explicit mirrors. Cartridge slots are numbered in document order.
+    mem_size, vis_base, vis_size, file_size). Stages overwrite one another in this order: devices (first claims a page) and
+    cartridge slots, pages of each device outside its visible range and beyond its file, explicit mirrors of what stands then.
+    Cartridge slots are numbered in document order; what they hold is in no cell.
     """
     w = Window.partitionBy("doc").orderBy("doc_ord")
     ms_ok = slots.where("ms between 0 and 3 and (ss is null or ss between 0 and 3)")
@@ -106,14 +113,17 @@ def slot_map(slots: DataFrame, devices: DataFrame, mirrors: DataFrame | None = N
     carts = ms_ok.join(expanded.withColumnsRenamed({"external": "p_ext"}), ["doc", "ms"]).where("external and (ss is null or not p_ext)").withColumn("number", F.row_number().over(w))
     layout = expanded.join(carts.where("ss is null").groupBy("doc", "ms").agg(F.min("number").alias("number")), ["doc", "ms"], "left")
     pages = page_map(devices)
-    stages = pages.select("doc", "ms", "ss", "p", "abbr", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("o"))
-    more = [(mirrored_outside(devices), 1), (mirrored_beyond(devices), 2)]
+    four = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p")
+    number = F.concat(F.lit("CS"), F.col("number").cast("string"))
+    slot = carts.select("doc", "ms", F.coalesce("ss", F.lit(0)).alias("ss"), four, F.when(F.col("ss").isNull(), number).otherwise(F.concat(number, F.lit(SUBSLOT))).alias("abbr"))
+    stage = lambda df, n, o: df.select("doc", "ms", "ss", "p", "abbr", F.lit(n).alias("stage"), o.cast("long").alias("o"))
+    stages = stage(pages, 0, F.lit(0)).unionByName(stage(slot, 0, F.lit(1)))
+    # device by device, first what can't be seen, then what lies beyond the file
+    stages = stages.unionByName(stage(mirrored_outside(devices), 1, F.col("doc_ord") * 2)).unionByName(stage(mirrored_beyond(devices), 1, F.col("doc_ord") * 2 + 1))
+    last = lambda df: df.groupBy("doc", "ms", "ss", "p").agg(F.max_by("abbr", F.struct("stage", "o")).alias("abbr"))
+    cells = last(stages)
     if mirrors is not None:
-        more.append((mirror_elements(mirrors, pages), 3))
-    for df, n in more:
-        stages = stages.unionByName(df.select("doc", "ms", "ss", "p", "abbr", F.lit(n).alias("stage"), F.col("doc_ord").cast("long").alias("o")))
-    subs = carts.where("ss is not null").select("doc", "ms", "ss", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"), F.concat(F.lit("CS"), F.col("number").cast("string"), F.lit(SUBSLOT)).alias("abbr"), F.lit(4).alias("stage"), F.col("doc_ord").cast("long").alias("o"))
-    cells = stages.unionByName(subs).groupBy("doc", "ms", "ss", "p").agg(F.max_by("abbr", F.struct("stage", "o")).alias("abbr"))
+        cells = last(stage(cells, 0, F.lit(0)).unionByName(stage(mirror_elements(mirrors, cells), 1, F.col("doc_ord"))))
     return fill(cells, layout)
 
 
@@ -167,6 +177,15 @@ def slot_column(ms: int, ss: int, p: int) -> str:
 SLOT_COLUMNS = [(ms, ss, p) for ms in range(4) for ss in range(4) for p in range(4)]
 
 
+def restyle(column: Column | str, symbols: dict[str, str]) -> Column:
+    """A cell in configured symbols (absent, empty_page, mirror_suffix, subslot_suffix; others as they are)."""
+    c = _c(column)
+    old = {"absent": ABSENT, "empty_page": EMPTY, "mirror_suffix": MIRROR, "subslot_suffix": SUBSLOT}
+    new = {k: symbols.get(k, v) for k, v in old.items()}
+    tail = F.when(c.endswith(MIRROR), new["mirror_suffix"]).when(c.rlike(r"^(?:CS|ES)\d*!$"), new["subslot_suffix"])
+    return F.when(c == ABSENT, new["absent"]).when(c == EMPTY, new["empty_page"]).when(tail.isNotNull(), F.concat(F.substring(c, F.lit(1), F.length(c) - 1), tail)).otherwise(c)
+
+
 def widen(cells: DataFrame, key: str = "nk") -> DataFrame:
     """Long form to 64 columns, one aggregate and no pivot pre-pass."""
     return cells.groupBy(key).agg(*[F.max(F.when((F.col("ms") == ms) & (F.col("ss") == ss) & (F.col("p") == p), F.col("abbr"))).alias(slot_column(ms, ss, p)) for ms, ss, p in SLOT_COLUMNS])

@@ -61,11 +61,10 @@ def with_rank(df: DataFrame, keys: list[Column], name: str = "pos") -> DataFrame
 
 
 def gaps(df: DataFrame, hidden: Column, order: str, key: str = "id", partition: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(visible rows with row_number, gaps): runs of hidden rows between visible ones.
+    """(visible rows with row_number, hidden rows with after_row): after_row is the number of visible rows before it, so hidden
+    rows with one after_row are one gap, a trailing one like any other. `gap_runs` sums them up.
 
-    A gap has after_row (visible rows before it), n_hidden and the ids in order; a trailing gap counts as any other. With
-    `partition` the walk is done per group, in parallel. Without it the running count is built from per-bucket totals of
-    `order`, so that no single task sees all rows.
+    With `partition` the walk is done per group, in parallel. Without it no single task sees all rows.
     """
     flagged = df.withColumn("_hid", F.coalesce(hidden, F.lit(False)))
     if partition:
@@ -74,21 +73,24 @@ def gaps(df: DataFrame, hidden: Column, order: str, key: str = "id", partition:
     else:
         walked = running_count(flagged, ~F.col("_hid"), order, "row_number")
     visible = walked.where("not _hid").drop("_hid")
-    runs = walked.where("_hid").groupBy(*partition, F.col("row_number").alias("after_row")).agg(F.count("*").alias("n_hidden"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k")))), lambda s: s["k"]).alias("hidden_ids"))
-    return visible, runs
-
-
-def running_count(df: DataFrame, counted: Column, order: str, name: str, buckets: int = 256) -> DataFrame:
-    """Running count of `counted` in the order of a numeric column: totals per value range first, then within each range."""
-    lo_hi = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if lo_hi.lo is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    width = (float(lo_hi.hi) - float(lo_hi.lo)) / buckets or 1.0
-    b = df.withColumn("_b", F.least(F.floor((F.col(order) - F.lit(lo_hi.lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int"))
-    totals = b.groupBy("_b").agg(F.count_if(counted).alias("_n"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # at most `buckets` rows
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn("_in", F.sum(counted.cast("long")).over(w)).join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
+    return visible, walked.where("_hid").drop("_hid").withColumnRenamed("row_number", "after_row")
+
+
+def gap_runs(hidden: DataFrame, order: str, key: str = "id", partition: tuple[str, ...] = ()) -> DataFrame:
+    """(partition, after_row, n_hidden, first_id, last_id) of each run of hidden rows, however long it is."""
+    ends = [f(key, order).alias(name) for f, name in ((F.min_by, "first_id"), (F.max_by, "last_id"))]
+    return hidden.groupBy(*partition, "after_row").agg(F.count("*").alias("n_hidden"), *ends)
+
+
+def running_count(df: DataFrame, counted: Column, order: str, name: str) -> DataFrame:
+    """Running count of `counted` in the order of a column: a range exchange splits the order, each partition counts on its own
+    and starts from the totals before it, of which there is one per partition. The order is written out first, as in
+    `with_rank`."""
+    ordered = cut(df.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    totals = ordered.groupBy("_part").agg(F.count_if(counted).alias("_n"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row per partition
+    w = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    return ordered.withColumn("_in", F.sum(counted.cast("long")).over(w)).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_row", "_in", "_before")
 
 
 def row_range(ranked: DataFrame, first: int, last: int, key: str = "id", pos: str = "pos") -> DataFrame:

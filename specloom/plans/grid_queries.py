@@ -92,8 +92,22 @@ def gap_walk(spark, sf_dir):
 
 @query(f"{_WALK} select cast(rn as bigint) as after_row, count(*) as n_hidden, string_agg(cast(id as varchar), ',' order by id) as ids from w where o_orderstatus = 'P' group by rn")
 def gap_ranges(spark, sf_dir):
-    runs = view.gaps(_orders(spark, sf_dir), F.col("o_orderstatus") == "P", "id")[1]
-    return runs.select(F.col("after_row").cast("long"), "n_hidden", F.array_join(F.transform("hidden_ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """The ids of every gap as one text; `gap_runs` and `gap_members` give the same without gathering a gap in one row."""
+    hidden = view.gaps(_orders(spark, sf_dir), F.col("o_orderstatus") == "P", "id")[1]
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids")
+    return hidden.groupBy(F.col("after_row").cast("long").alias("after_row")).agg(F.count("*").alias("n_hidden"), ids)
+
+
+@query(f"{_WALK} select cast(rn as bigint) as after_row, count(*) as n_hidden, min(id) as first_id, max(id) as last_id from w where o_orderstatus = 'P' group by rn")
+def gap_runs(spark, sf_dir):
+    hidden = view.gaps(_orders(spark, sf_dir), F.col("o_orderstatus") == "P", "id")[1]
+    return view.gap_runs(hidden.withColumn("after_row", F.col("after_row").cast("long")), "id")
+
+
+@query(f"{_WALK} select cast(rn as bigint) as after_row, id from w where o_orderstatus = 'P'")
+def gap_members(spark, sf_dir):
+    hidden = view.gaps(_orders(spark, sf_dir), F.col("o_orderstatus") == "P", "id")[1]
+    return hidden.select(F.col("after_row").cast("long").alias("after_row"), "id")
 
 
 def _nations(spark, sf_dir):

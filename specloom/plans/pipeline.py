@@ -29,6 +29,7 @@ class Inputs:
     link_shares: DataFrame | None = None
     wiki_base: str = ""
     xml_base: str = ""
+    symbols: dict | None = None
 
 
 @dataclass
@@ -41,7 +42,8 @@ class Built:
 
 def machine_slot_map(devices: DataFrame, lut: list[dict]) -> DataFrame:
     """Slot map of every document from device rows: classify, pack compound devices, then fill."""
-    classified = devices.withColumn("abbr", F.when(F.upper(F.trim("mappertype")) == "PANASONIC", "PM").otherwise(F.coalesce(rules.first_match(lut, "tag", "id"), F.col("tag"))))
+    classified = devices.withColumn("label", F.coalesce(rules.first_match(lut, "tag", "id"), F.col("tag")))
+    classified = classified.withColumn("abbr", F.when((F.col("kind") == "device") & (F.upper(F.trim("mappertype")) == "PANASONIC"), "PM").otherwise(F.col("label")))
     parts = slots.packed(classified.where("kind = 'part'"), ("doc", "ms", "ss"), "doc_ord")
     d = classified.where("kind = 'device'").unionByName(parts)
     if "file_size" not in d.columns:
@@ -115,6 +117,8 @@ def build(inp: Inputs, catalog: Catalog | None = None) -> Built:
     dead = ex.dead(left.select("manufacturer", "model").unionByName(right.select("manufacturer", "model"))) if ex.rules else []
     merged, conflicts = mg.merge(ready(ex.keep(left)), ready(ex.keep(right)), ready(inp.local) if inp.local is not None else None, inp.resolutions)
     out = cat.derive(rules.substitute(renumbered(merged), inp.substitutions or {}))
+    if inp.symbols:
+        out = out.withColumns({c: slots.restyle(c, inp.symbols) for c in out.columns if c.startswith("slotmap_")})
     out = out.withColumn("nk", natural_key())
     reg = registry.assign(inp.registry, out.select("nk"))
     for c in ("msxorg_title", "openmsx_id"):

@@ -70,17 +70,17 @@ def next_page(links: list[tuple[str, str]], base: str) -> str | None:
     return None
 
 
-def fetch(url: str, opener=None, wait: float = RETRY_WAIT) -> bytes:
+def fetch(url: str, opener=None, wait: float = RETRY_WAIT, retries: int = RETRIES) -> bytes:
     """GET with retries on gateway errors only; other errors are raised at once."""
     from urllib.error import HTTPError
     from urllib.request import urlopen
 
     get = opener or (lambda u: urlopen(u, timeout=TIMEOUT).read())  # noqa: S310
-    for k in range(RETRIES + 1):
+    for k in range(retries + 1):
         try:
             return get(url)
         except HTTPError as e:
-            if e.code not in RETRY_STATUS or k == RETRIES:
+            if e.code not in RETRY_STATUS or k == retries:
                 raise
             time.sleep(wait)
     raise AssertionError
@@ -95,6 +95,7 @@ class _WebReader(DataSourceReader):
     def __init__(self, options: dict):
         self.urls = json.loads(options.get("urls", "{}"))
         self.delay = float(options.get("delay", "0"))
+        self.retries = int(options.get("retries", str(RETRIES)))
 
     def partitions(self) -> list[InputPartition]:
         return [_Page(n, u) for n, u in self.urls.items()] or [_Page("", "")]
@@ -104,7 +105,7 @@ class _WebReader(DataSourceReader):
             return
         time.sleep(self.delay)
         try:
-            yield part.name, fetch(part.url)
+            yield part.name, fetch(part.url, retries=self.retries)
         except OSError as e:
             log.warning("%s: %s", part.url, e)
             yield part.name, None

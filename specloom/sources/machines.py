@@ -120,7 +120,7 @@ def facts(doc: str, root: ET.Element, error: str | None) -> dict | None:
     ppi = next(iter(_found(dev, "PPI")), None)
     board = _text(ppi.find("keyboard_type")) if ppi is not None else None
     psg, turbo = bool(_found(dev, "PSG")), dev.find("Matsushita")
-    ports = [name for name, tags in (("Printer", ("PrinterPort",)), ("RS-232", ("MSX-RS232",))) if any(_found(dev, t) or root.find(t) is not None for t in tags)]
+    ports = [name for name, held in (("Cassette", root.find("CassettePort") is not None), ("Printer", bool(_found(dev, "PrinterPort")))) if held]
     out |= {
         "main_ram_kb": ram or None, "mapper": mapper, "sram_kb": str(sram) if sram else None, "vdp": version, "vram_kb": (_small(_text(vdp.find("vram"))) or None) if vdp is not None else None,
         "max_resolution": specs[0], "max_colors": specs[1], "max_sprites": specs[2], "psg": "AY-3-8910" if psg else None, "audio_channels": 3 if psg else None,
@@ -154,7 +154,7 @@ def bios_file(root: ET.Element) -> tuple[list[str], int] | None:
 
 
 def device_rows(doc: str, root: ET.Element) -> Iterator[dict]:
-    """Slots ('slot'), devices ('device', one row per memory range), children of compound devices ('part') and explicit
+    """Slots ('slot'), devices ('device', with their first memory range), children of compound devices ('part') and explicit
     mirrors ('mirror') in document order; at the end the file of the main ROM ('bios', its offset as win_base)."""
     n = 0
     blank = dict.fromkeys([c.split()[0] for c in DEVICES.split(", ")])
@@ -164,16 +164,18 @@ def device_rows(doc: str, root: ET.Element) -> Iterator[dict]:
         n += 1
         return blank | {"doc": doc, "doc_ord": n} | kw
 
-    def device(e: ET.Element, ms: int | None, ss: int) -> Iterator[dict]:
+    def device(e: ET.Element, ms: int | None, ss: int, classified: bool) -> Iterator[dict]:
         if e.tag == "Mirror":
-            for m in e.findall("mem"):
-                b, s = _range(m)
-                yield row(kind="mirror", ms=ms, ss=ss, tag=e.tag, mem_base=b, mem_size=s, mirror_ps=number(_text(e.find("ps"))), mirror_ss=number(_text(e.find("ss"))))
+            b, s = _range(e.find("mem"))
+            yield row(kind="mirror", ms=ms, ss=ss, tag=e.tag, mem_base=b, mem_size=s, mirror_ps=number(_text(e.find("ps"))), mirror_ss=number(_text(e.find("ss"))))
+            return
+        if not classified:
             return
         if e.tag.startswith("ToshibaTCX"):
             b, s = _range(e.find("mem"))
-            for r in e.findall("rom"):
-                yield row(kind="part", ms=ms, ss=ss, tag=e.tag.upper(), id=r.get("id"), win_size=_range(r.find("window"))[1], wrap_base=b, wrap_size=s)
+            for r in e:
+                if (size := _range(r.find("window"))[1]) is not None and size > 0 and b is not None and s is not None:
+                    yield row(kind="part", ms=ms, ss=ss, tag=r.tag.upper(), id=r.get("id"), win_size=size, wrap_base=b, wrap_size=s)
             return
         rom, vis = e.find("rom"), _range(e.find("rom_visibility"))
         own = {"id": e.get("id"), "tag": e.tag, "mappertype": _text(e.find("mappertype")), "vis_base": vis[0], "vis_size": vis[1]}
@@ -181,22 +183,23 @@ def device_rows(doc: str, root: ET.Element) -> Iterator[dict]:
             own |= {"sha1s": _sha1s(rom if rom is not None else e)}
             if rom is not None:
                 own |= {"win_base": _range(rom.find("window"))[0], "first_block": number(_text(rom.find("firstblock")))}
-        for m in e.findall("mem") or [None]:
-            b, s = _range(m)
-            yield row(kind="device", ms=ms, ss=ss, mem_base=b, mem_size=s, **own)
+        b, s = _range(e.find("mem"))
+        yield row(kind="device", ms=ms, ss=ss, mem_base=b, mem_size=s, **own)
 
     for dev in root.findall("devices"):
         for p in dev.findall("primary"):
             ms = number(p.get("slot"))
-            yield row(kind="slot", ms=ms, external=p.get("external") == "true", tag="primary")
+            cart, expanded = p.get("external") == "true", p.find("secondary") is not None
+            yield row(kind="slot", ms=ms, external=cart, tag="primary")
             for c in p:
                 if c.tag == "secondary":
                     ss = number(c.get("slot"))
                     yield row(kind="slot", ms=ms, ss=ss, external=c.get("external") == "true", tag="secondary")
                     for d in c:
-                        yield from device(d, ms, ss)
+                        yield from device(d, ms, ss, not cart and c.get("external") != "true")
                 else:
-                    yield from device(c, ms, 0)
+                    # what stands beside the sub-slots of an expanded slot, or in a cartridge slot, is in no slot map
+                    yield from device(c, ms, 0, not cart and not expanded)
     if (bios := bios_file(root)) is not None:
         yield row(kind="bios", tag="bios", sha1s=bios[0], win_base=bios[1])
 

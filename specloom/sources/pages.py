@@ -190,14 +190,17 @@ _NO = r"(?i)\b(no|not|without|none)\b"
 
 
 def ports(items: Column) -> tuple[Column, Column, Column]:
-    """(connectivity, tape, cartridge slots) of a list of bullets; a negated bullet names no port."""
+    """(connectivity, tape, cartridge slots) of a list of bullets; a negated bullet names no port. The
+    last bullet that counts cartridge slots counts; one that doesn't stands for two where none does."""
     said = F.filter(F.transform(items, F.lower), lambda b: ~F.rlike(b, F.lit(_NO)))
     any_of = lambda *ws: F.exists(said, lambda b: F.rlike(b, F.lit("|".join(map(re.escape, ws)))))
     tape = any_of("data recorder", "cassette")
     list_ = F.array_compact(F.array(F.when(tape, "Cassette"), F.when(any_of("printer", "parallel", "centronics"), "Printer")))
     carts = F.filter(F.transform(items, F.lower), lambda b: b.contains("cartridge slot"))
-    count = F.transform(carts, lambda b: F.coalesce(F.nullif(F.regexp_extract(b, r"(\d+)\s*[×x]?\s*cartridge", 1), F.lit("")).cast("int"), F.lit(2)))
-    return F.nullif(F.array_join(list_, ", "), F.lit("")), F.when(tape, "Yes"), F.when(F.size(count) > 0, F.element_at(count, -1))
+    count = F.transform(carts, lambda b: F.nullif(F.regexp_extract(b, r"(\d+)\s*[×x]?\s*cartridge", 1), F.lit("")).cast("int"))
+    counted = F.filter(count, lambda n: n.isNotNull())
+    slots = F.when(F.size(counted) > 0, F.element_at(counted, -1)).when(F.size(count) > 0, 2)
+    return F.nullif(F.array_join(list_, ", "), F.lit("")), F.when(tape, "Yes"), slots
 
 
 def page_records(pages: DataFrame, listing: DataFrame) -> DataFrame:
@@ -236,6 +239,11 @@ def page_name(doc: Column | str) -> Column:
     return F.regexp_replace(doc, r"(?: - MSX Wiki)?\.html$", "")
 
 
+def page_file(doc: Column | str) -> Column:
+    """File name of a saved page without what browsers add to it."""
+    return F.concat(page_name(doc), F.lit(".html"))
+
+
 def crawled(pages: DataFrame) -> list[tuple[str, str, int]]:
     """(doc, generation, place) of the category pages that are reached from each first page by 'next' links, in order."""
     found = {r.name: (r.doc, [(x.href, x.text) for x in r.links]) for r in pages.where(F.col("doc").startswith("Category_")).select("doc", page_name("doc").alias("name"), "links").toLocalIterator()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from specloom.__main__ import main
 from specloom.operators import registry, rules
 from specloom.plans import pipeline
-from specloom.sources import files
+from specloom.sources import files, live, pages
 from specloom.streaming import incremental
 
 
@@ -59,6 +59,81 @@ def test_web():
     assert files.mirrored_page("https://h/wiki/Category:A%2B_b", 2) == "Category_A+ b_page2.html"
 
 
+def test_contents_listing():
+    body = json.dumps([{"name": n, "type": t, "download_url": f"u/{n}"} for n, t in (("A.xml", "file"), ("Acid2.xml", "file"), ("dir.xml", "dir"), ("B.txt", "file"), ("Cut1.xml", "file"))])
+    assert live.contents_listing(body, rules.Excludes([{"filename": "Cut?.xml"}])) == {"A.xml": "u/A.xml"}
+
+
+def test_live_with_a_mirror_behind(spark, tmp_path):
+    web, mirror = tmp_path / "web", tmp_path / "mirror"
+    web.mkdir(), mirror.mkdir()
+    (web / "A.xml").write_text("live"), (mirror / "B.xml").write_text("kept"), (mirror / "Z.xml").write_text("old")
+    listing = json.dumps([{"name": n, "type": "file", "download_url": (web / n).as_uri()} for n in ("A.xml", "B.xml", "C.xml")]).encode()
+
+    def read(**kw):
+        return {r.file_name: r.content and bytes(r.content) for r in live.descriptions(spark, delay=0, **kw).collect()}
+
+    def down(url):
+        raise OSError("down")
+
+    assert read(get=lambda u: listing) == {"A.xml": b"live", "B.xml": None, "C.xml": None}
+    assert read(mirror=str(mirror), get=lambda u: listing) == {"A.xml": b"live", "B.xml": b"kept", "C.xml": None}
+    assert read(mirror=str(mirror), get=lambda u: listing, limit=1) == {"A.xml": b"live"}
+    assert read(mirror=str(mirror), get=down) == read(mirror=str(mirror), local_only=True) == {"B.xml": b"kept", "Z.xml": b"old"}
+    with pytest.raises(OSError):
+        read(get=down)
+    with pytest.raises(ValueError):
+        read(local_only=True)
+
+
+def test_wiki_crawl(spark, tmp_path):
+    base = (tmp_path / "site").as_uri()
+    at, mirror = tmp_path / "site" / "wiki", tmp_path / "mirror"
+    at.mkdir(parents=True), mirror.mkdir()
+    (at / "Acme_X1").write_text("live X1")
+    (mirror / "Acme Y2 - MSX Wiki.html").write_text("saved Y2")
+    box = lambda *ls, more="": '<div id="mw-pages">' + "".join(f'<a href="{h}" title="{t}">x</a>' for h, t in ls) + f"</div>{more}"
+    told = {
+        "Category:MSX2_Computers": box(("/wiki/Acme_X1", "Acme X1"), ("/wiki/MSX2", "MSX2"), ("/wiki/Category:Z", "Z"), more='<a href="/wiki/Category:MSX2_Computers?pagefrom=B">next 200</a>'),
+        "Category:MSX2_Computers?pagefrom=B": box(("/wiki/Acme_Y2", "Acme Y2")),
+    }
+    (mirror / "Category_MSX1 Computers - MSX Wiki.html").write_text(box(("/wiki/Acme_X1", "again")))
+
+    def get(url):
+        body = told.get(url.split("/wiki/", 1)[1])
+        if body is None:
+            raise OSError(url)
+        return body.encode()
+
+    def read(**kw):
+        return {r.file_name: r.content and bytes(r.content) for r in live.wiki_pages(spark, base=base, delay=0, get=get, **kw).collect() if not r.file_name.startswith("Category_")}
+
+    assert read() == {"Acme X1.html": b"live X1", "Acme Y2.html": None}
+    assert read(mirror=str(mirror)) == {"Acme X1.html": b"live X1", "Acme Y2.html": b"saved Y2"}
+    names = {r.file_name for r in live.wiki_pages(spark, mirror=str(mirror), base=base, delay=0, get=get).collect() if r.file_name.startswith("Category_")}
+    assert names == {"Category_MSX2 Computers.html", "Category_MSX2 Computers_page2.html", "Category_MSX1 Computers.html"}
+    assert set(read(mirror=str(mirror), local_only=True)) == {"Acme Y2 - MSX Wiki.html"}
+    assert pages.SKIP_TITLES
+
+
+def test_build_fetches_from_mirrors(spark, tmp_path, capsys):
+    x, w = tmp_path / "x", tmp_path / "w"
+    x.mkdir(), w.mkdir()
+    (x / "Acme_X1.xml").write_text("<msxconfig><info><manufacturer>Acme</manufacturer><code>X1</code><type>MSX2</type></info><devices><primary slot='0'/><primary slot='1' external='true'/></devices></msxconfig>")
+    (w / "Acme X1 - MSX Wiki.html").write_text("<table><tr><td>Brand</td><td>Acme</td></tr><tr><td>Model</td><td>X1</td></tr><tr><td>Year</td><td>1986</td></tr></table>")
+    (tmp_path / "lut.json").write_text(json.dumps([{"element": "ROM", "id_pattern": "bios", "abbr": "MAIN", "tooltip": "m"}]))
+    (tmp_path / "conf.json").write_text(json.dumps({"openmsx_mirror": str(x), "msxorg_mirror": str(w), "slotmap_symbols": {"absent": "none", "empty_page": "free"}}))
+    args = ["build", "--fetch", "-l", "--config", str(tmp_path / "conf.json"), "--lut", str(tmp_path / "lut.json"), "--openmsx", str(tmp_path / "l.json"), "--msxorg", str(tmp_path / "r.json"), "-o", str(tmp_path / "out.js")]
+    assert main(args) == 0
+    text = (tmp_path / "out.js").read_text()
+    doc = json.loads(text[text.index("{") : text.rindex("}") + 1])
+    row = dict(zip([c["key"] for c in doc["columns"]], doc["models"][0]["values"], strict=True))
+    assert (row["year"], row["generation"], row["slotmap_0_0_0"], row["slotmap_0_1_0"], row["slotmap_1_0_0"]) == (1986, "MSX2", "free", "none", "CS1")
+    capsys.readouterr()
+    assert main(["fetch-openmsx", str(x)]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["model"] == "X1"
+
+
 def test_build_is_idempotent_and_cli(spark, tmp_path):
     left = [{"manufacturer": "Acme", "model": "X1", "standard": "MSX2", "year": 1985, "openmsx_id": "Acme_X1"}, {"manufacturer": "Gone", "model": "Q"}]
     right = [{"manufacturer": "ACME", "model": "x1", "year": 1986, "msxorg_title": "Acme X1", "engine": "T9769"}, {"manufacturer": "Zed", "model": "None"}]

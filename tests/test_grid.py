@@ -81,7 +81,10 @@ def test_sort_is_stable_and_nulls_last(rows):
 def test_gaps_and_empty(spark, rows):
     vis, runs = view.gaps(rows, F.col("id").isin(1, 3, 4), "id")
     assert {(r.id, r.row_number) for r in vis.collect()} == {(2, 1), (5, 2)}
-    assert {(r.after_row, tuple(r.hidden_ids)) for r in runs.collect()} == {(0, (1,)), (1, (3, 4))}
+    assert {(r.after_row, r.id) for r in runs.collect()} == {(0, 1), (1, 3), (1, 4)}
+    assert {tuple(r) for r in view.gap_runs(runs, "id").collect()} == {(0, 1, 1, 1), (1, 2, 3, 4)}
+    far = rows.withColumn("id", F.when(F.col("id") == 5, 2**60 + 1).otherwise(F.col("id")).cast("long"))
+    assert {(r.id, r.row_number) for r in view.gaps(far, F.col("id").isin(1, 3, 4), "id")[0].collect()} == {(2, 1), (2**60 + 1, 2)}
     vis, runs = view.gaps(rows.limit(0), F.lit(True), "id")
     assert vis.count() == runs.count() == 0
 
@@ -122,6 +125,14 @@ def test_registry(spark, tmp_path):
     registry.save(one, p)
     two = registry.assign(registry.load(spark, p), keys.union(spark.createDataFrame([("0",)], "nk string")))
     assert {r.nk: (r.id, r.retired) for r in two.collect()} == {"a": (1, False), "b": (2, True), "0": (3, False)}
+    # the highest key is gone from the file, its id is not given again
+    doc = json.loads(p.read_text())
+    del doc["models"]["b"]
+    p.write_text(json.dumps(doc))
+    left = registry.assign(registry.load(spark, p), spark.createDataFrame([("n",), ("m",)], "nk string"))
+    assert {r.nk: r.id for r in left.where("nk is not null").collect()} == {"a": 1, "m": 3, "n": 4}
+    registry.save(registry.load(spark, p), p)
+    assert json.loads(p.read_text())["next_model_id"] == 3 and list(json.loads(p.read_text())["models"]) == ["a"]
     with pytest.raises(OverflowError):
         registry.assign(two, spark.createDataFrame([("z",)], "nk string"), limit=3)
     p.write_text("[]")

@@ -66,7 +66,58 @@ def test_machine_xml(spark):
     assert len(got) == 64
     assert [got[0, 0, p] for p in range(4)] == ["MAIN", "MAIN*", "⌴", "⌴"] and got[0, 1, 0] == "⌧"
     assert got[1, 0, 2] == "CS1" and got[2, 0, 0] == "CS3" and got[3, 2, 1] == "CS2!" and got[3, 0, 3] == "RAM" and got[3, 3, 0] == "⌴"
-    assert got[3, 1, 0] == "TOSHIBATCX-200X" and got[3, 1, 1] == "MAIN*"
+    assert got[3, 1, 0] == "ROM" and got[3, 1, 1] == "MAIN*"
+
+
+def cells_of(spark, body, sizes=()):
+    xml = f"<msxconfig><info><manufacturer>A</manufacturer><code>B</code><type>MSX2</type></info>{body}</msxconfig>"
+    devices = machines.read_devices(spark.createDataFrame([("x", xml)], "file_name string, xml_text string"))
+    if sizes:
+        devices = devices.join(spark.createDataFrame(sizes, "id string, file_size long"), "id", "left")
+    return {(r.ms, r.ss, r.p): r.abbr for r in pipeline.machine_slot_map(devices, LUT).collect()}
+
+
+def test_slot_map_of_expanded_and_cartridge_slots(spark):
+    got = cells_of(
+        spark,
+        """<devices><primary slot="0"><RAM><mem base="0" size="0x10000"/></RAM><secondary slot="1"><ROM id="Main x"><mem base="0" size="0x4000"/><mem base="0x8000" size="0x4000"/></ROM></secondary>
+        <secondary slot="2" external="true"><RAM><mem base="0" size="0x4000"/></RAM></secondary></primary><primary slot="1" external="true"><RAM><mem base="0" size="0x4000"/></RAM></primary>
+        <primary slot="2"><Mirror><mem base="0x4000" size="0x4000"/><ps>1</ps></Mirror><Mirror><mem base="0x8000" size="0x4000"/><ps>0</ps><ss>2</ss></Mirror></primary></devices>""",
+    )
+    assert got[0, 0, 0] == got[0, 3, 2] == "⌴"  # what stands beside the sub-slots is in none
+    assert (got[0, 1, 0], got[0, 1, 2]) == ("MAIN", "⌴")  # the first memory range counts
+    assert got[0, 2, 0] == "CS1!" and [got[1, 0, p] for p in range(4)] == ["CS2"] * 4 and got[1, 1, 0] == "⌧"
+    assert (got[2, 0, 1], got[2, 0, 2], got[2, 0, 0]) == ("CS2*", "CS1!*", "⌴")  # cartridge slots have mirrors too
+
+
+def test_mirrors_are_called_by_the_device(spark):
+    body = """<devices><primary slot="0"><ROM id="Main m"><mem base="0" size="0x10000"/><mappertype>PANASONIC</mappertype><rom_visibility base="0x4000" size="0x8000"/><rom><sha1>a</sha1></rom></ROM></primary>
+    <primary slot="1"><Mirror><mem base="0" size="0x4000"/><ps>0</ps></Mirror></primary></devices>"""
+    got = cells_of(spark, body)
+    assert [got[0, 0, p] for p in range(4)] == ["MAIN*", "PM", "PM", "MAIN*"] and got[1, 0, 0] == "PM*"
+    got = cells_of(spark, body, [("Main m", 0x8000)])  # visible or not, what lies beyond the file is a mirror
+    assert [got[0, 0, p] for p in range(4)] == ["MAIN*", "PM", "MAIN*", "MAIN*"]
+
+
+def test_connectivity_and_cells_restyled(spark):
+    xml = "<msxconfig><info><manufacturer>A</manufacturer><code>B</code><type>MSX2</type></info><CassettePort/><devices><PrinterPort/><MSX-RS232/></devices></msxconfig>"
+    docs = spark.createDataFrame([("x", xml), ("y", xml.replace("<CassettePort/>", "")), ("z", xml.replace("<PrinterPort/>", "").replace("<CassettePort/>", ""))], "file_name string, xml_text string")
+    assert {r.doc: r.connectivity for r in machines.read_facts(docs).collect()} == {"x": "Cassette, Printer", "y": "Printer", "z": None}
+    df = spark.createDataFrame([("⌧",), ("⌴",), ("RAM*",), ("CS1!",), ("X!",), (None,)], "c string")
+    look = {"absent": "-", "empty_page": "o", "mirror_suffix": "~", "subslot_suffix": "^"}
+    assert [r[0] for r in df.select(slots.restyle("c", look)).collect()] == ["-", "o", "RAM~", "CS1^", "X!", None]
+
+
+def test_port_bullets(spark):
+    df = spark.createDataFrame([(["3 cartridge slots", "one cartridge slot"],), (["a cartridge slot"],), (["printer"],), (["1 cartridge", "2 x cartridge slot", "no cartridge slot"],)], "b array<string>")
+    assert [r[0] for r in df.select(pages.ports(F.col("b"))[2]).collect()] == [3, 2, None, 2]
+
+
+def test_doubled_resolutions(spark):
+    side = spark.createDataFrame([("a", "b", 1, 0)], "manufacturer string, model string, year int, ord long")
+    res = spark.createDataFrame([("a|b", "year", "openmsx"), ("a|b", "year", "msxorg")], "nk string, field string, source string")
+    merged, left = mg.merge(side, side.withColumn("year", F.lit(2)), resolutions=res)
+    assert merged.first().year == 2 and left.count() == 0
 
 
 HTML = """<table><tr><td>Brand:</td><td>Acme (Manufacturer: B)</td></tr><tr><td>Model</td><td>X1 / X2</td></tr><tr><td>Year</td><td>1986-10</td></tr><tr><td>RAM</td><td>64kB</td></tr><tr><td>Audio</td><td>PSG, YM2413</td></tr></table>
