@@ -108,6 +108,23 @@ def rectangle(ranked: DataFrame, columns: list[int], first: tuple[int, int], las
     return rows.select(F.col(key), F.explode(F.array(*[F.lit(c) for c in columns[a : b + 1]])).alias("column_id"))
 
 
+def row_cells(ranked: DataFrame, columns: list[int], first: int, last: int, key: str = "id") -> DataFrame:
+    """(id, column_id) of all visible cells of the rows between two anchors."""
+    return row_range(ranked, first, last, key).select(F.col(key), F.explode(F.array(*[F.lit(c) for c in columns]).cast("array<int>")).alias("column_id"))
+
+
+def prune(selected: DataFrame, catalog: Catalog, state: ViewState) -> DataFrame:
+    """Selected cells less those of rows and columns that a view doesn't show, collapsed groups included."""
+    kept = selected.where(F.col("column_id").isin([f.id for f in catalog.visible(state)]))
+    return kept.where(~F.col("id").isin(*sorted(state.hidden_rows))) if state.hidden_rows else kept
+
+
+def selected_count(selected: DataFrame, key: str = "id") -> DataFrame:
+    """(n_cells, n_rows, n_columns) of a selection; cells given twice count once."""
+    cells = selected.select(key, "column_id").distinct()
+    return cells.agg(F.count("*").alias("n_cells"), F.count_distinct(key).alias("n_rows"), F.count_distinct("column_id").alias("n_columns"))
+
+
 def tsv(ranked: DataFrame, catalog: Catalog, selected: DataFrame, state: ViewState | None = None, headers: bool = False, key: str = "id", pos: str = "pos") -> DataFrame:
     """(pos, line): only selected cells of each row, in visible column order, raw values; null is empty, booleans Yes/No.
 
