@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from specloom.functions.text import natural_key, strip
 from specloom.session import cut, small_side
@@ -77,7 +78,8 @@ def truth_discovery(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] =
     values times origins, not as its rows. Each round votes with the logarithm of every origin's odds of being right, then
     re-estimates each origin as the smoothed share of its claims that agree with the winners (`prior` pseudo-claims at the
     starting value). It ends when no reliability moves by `eps`; if they come back to where they were or move after `rounds`
-    rounds they never settle: RuntimeError. Only one number per origin reaches the driver.
+    rounds they never settle: RuntimeError. Only one number per origin reaches the driver. The counts are exchanged by group and
+    field once, kept, and every round works where they lie.
     """
     got = claims(df, origins, fields)
     folded = F.lower(strip("value"))
@@ -89,18 +91,22 @@ def truth_discovery(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] =
     start = {r.origin: 0.55 + 0.1 * min(4, max(0, r.trust or 0)) for r in known}
     weight = dict(start)
 
+    # a number of partitions that is asked for stays as it is, so the groupings and the join below need no exchange of their own
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    held = counts.repartition(n, "group_key", "field_name").persist(StorageLevel.MEMORY_AND_DISK)
+
     def vote() -> DataFrame:
         odds = F.lit(0.0)
         if weight:
             pairs = [x for o, w in weight.items() for x in (F.lit(o), F.log(F.lit(w / (1 - w)) + 1.0))]
             odds = F.create_map(*pairs)[F.col("origin")]
-        per = counts.groupBy("group_key", "field_name", "v").agg(F.sum(odds * F.log1p("n")).alias("support"), F.max_by("best", "rank").alias("best"), F.max("rank").alias("rank"))
+        per = held.groupBy("group_key", "field_name", "v").agg(F.round(F.sum(odds * F.log1p("n")), 9).alias("support"), F.max_by("best", "rank").alias("best"), F.max("rank").alias("rank"))
         return per.groupBy("group_key", "field_name").agg(F.max_by(F.struct("v", "support", "best"), F.struct("support", "rank")).alias("w")).select("group_key", "field_name", "w.v", "w.support", "w.best")
 
     seen: set[tuple] = set()
     for _ in range(rounds):
         won = vote().select("group_key", "field_name", F.col("v").alias("won"))
-        share = counts.join(won, ["group_key", "field_name"]).groupBy("origin").agg(F.sum(F.when(F.col("v") == F.col("won"), F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("n")).collect()
+        share = held.join(won, ["group_key", "field_name"]).groupBy("origin").agg(F.sum(F.when(F.col("v") == F.col("won"), F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("n")).collect()
         nxt = {r.origin: min(0.99, max(0.01, (r.hit + prior * start[r.origin]) / (r.n + prior))) for r in share}
         moved = max((abs(nxt[o] - weight[o]) for o in nxt), default=0.0)
         weight |= nxt
@@ -112,7 +118,8 @@ def truth_discovery(df: DataFrame, origins: DataFrame, fields: tuple[str, ...] =
         seen.add(state)
     else:
         raise RuntimeError(f"reliabilities haven't settled after {rounds} rounds")
-    out = vote().select("group_key", "field_name", F.col("best.value").alias("value"), "support", F.col("best.rec_id").alias("rec_id"))
+    out = cut(vote().select("group_key", "field_name", F.col("best.value").alias("value"), "support", F.col("best.rec_id").alias("rec_id")))
+    held.unpersist()
     return out, weight
 
 

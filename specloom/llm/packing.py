@@ -9,6 +9,7 @@ The items are then ranked within their length and dealt to the planned places wi
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,19 +22,24 @@ from pyspark.sql.window import Window
 
 from specloom.session import cut, spread
 
-#: a public tokenizer's ranks; other installations name another path
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: ranks of the tokenizer and the pattern that splits a text before them; SPECLOOM_TOKENIZER and SPECLOOM_TOKEN_PATTERN name others
+TOKENIZER = os.environ.get("SPECLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+TOKEN_PATTERN = os.environ.get("SPECLOOM_TOKEN_PATTERN", "")
 _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str):
     """The tokenizer of one ranks file, once per process."""
     if path not in _ENCODERS:
-        import public_tokenizers
         import tiktoken
 
+        pattern = TOKEN_PATTERN
+        if not pattern:
+            import public_tokenizers
+
+            pattern = public_tokenizers.PATTERN
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
@@ -114,11 +120,12 @@ def _places(plans: dict[int, list[tuple[int, dict[int, int]]]]) -> dict[tuple[in
     return {key: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for key, r in rows.items()}
 
 
-def pack(sizes: DataFrame, capacities: DataFrame, id_col: str = "doc_id", salts: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, capacities: DataFrame, id_col: str = "doc_id", per_salt: int = 100_000) -> DataFrame:
     """(pack_id, id, piece_no, start_token, n_tokens, container_no) for every text and capacity.
 
     `sizes`: (id, n_tokens). A text that fits is one piece, never split; a longer one is cut into full containers and one
-    rest. Texts without tokens take no room and are put into container 1. Container numbers count from 1 per capacity.
+    rest. Texts without tokens take no room and are put into container 1. Container numbers count from 1 per capacity. Pieces of
+    one length are ranked in parts of about `per_salt`, as many as there need to be.
     """
     packs = capacities.select(F.col("pack_id").cast("long").alias("pack_id"), F.col("capacity_tokens").cast("long").alias("cap")).where("cap > 0").distinct()
     room = {r.pack_id: r.cap for r in packs.limit(1001).collect()}
@@ -130,12 +137,14 @@ def pack(sizes: DataFrame, capacities: DataFrame, id_col: str = "doc_id", salts:
     each = F.when(F.col("n") <= F.col("cap"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("cap")) - 1))
     pieces = whole.join(F.broadcast(packs), F.lit(True)).select("pack_id", "cap", "id", "n", F.explode(each).alias("piece_no"))
     pieces = pieces.select("pack_id", "id", "piece_no", (F.col("piece_no") * F.col("cap")).alias("start_token"), F.least(F.col("n") - F.col("piece_no") * F.col("cap"), "cap").alias("n_tokens"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(salts)))
-    tally = cut(pieces.groupBy("pack_id", "n_tokens", "salt").agg(F.count("*").alias("c")))
     # at most sum(capacity) rows: one per capacity and length
     hist: dict[int, dict[int, int]] = {p: {} for p in room}
-    for r in tally.where("n_tokens > 0").groupBy("pack_id", "n_tokens").agg(F.sum("c").alias("c")).collect():
+    for r in pieces.groupBy("pack_id", "n_tokens").agg(F.count("*").alias("c")).collect():
         hist[r.pack_id][r.n_tokens] = r.c
+    salts = max(1, -(-max((c for h in hist.values() for c in h.values()), default=1) // per_salt))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(salts)))
+    tally = cut(pieces.groupBy("pack_id", "n_tokens", "salt").agg(F.count("*").alias("c")))
+    hist = {p: {n: c for n, c in h.items() if n > 0} for p, h in hist.items()}
     places = spark.sparkContext.broadcast(_places({p: plan(h, room[p]) for p, h in hist.items()}))
     over = Window.partitionBy("pack_id", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = tally.withColumn("before", F.coalesce(F.sum("c").over(over), F.lit(0).cast("long"))).drop("c")

@@ -155,7 +155,7 @@ def test_plan_is_whole_and_tight():
 def test_pack(spark):
     sizes = spark.createDataFrame([(i, n) for i, n in enumerate([0, None, 3, 5, 8, 17, 8, 3, 5] + [4] * 50)], "doc_id long, n_tokens long")
     packs = spark.createDataFrame([(1, 8), (2, 20)], "pack_id long, capacity_tokens int")
-    rows = packing.pack(sizes, packs, salts=3).collect()
+    rows = packing.pack(sizes, packs, per_salt=7).collect()
     room = {1: 8, 2: 20}
     fill, own = {}, {}
     for r in rows:
