@@ -68,9 +68,10 @@ def repair(tokens: DataFrame, vocabulary: DataFrame, limit: float = 1.6, shortes
     """(*by, token, word, cost): each distinct token beside the vocabulary words it may stand for, of the same `by` columns (strings).
 
     Exact words cost 0. Words within one edit beside any look-alikes are found by shared deletions, which is all that a price of
-    `limit` below 2 can pay for; dearer pairs are dropped.
+    `limit` below 2 can pay for; dearer pairs are dropped. Tokens that are longer than any word by more than one letter stand for none.
     """
-    t = tokens.select(*by, "token").distinct().select(*by, "token", F.explode(deletions(F.col("token"), shortest)).alias("k"))
+    longest = vocabulary.agg(F.max(F.length("word")).alias("n")).first().n or 0
+    t = tokens.where(F.length("token") <= longest + 1).select(*by, "token").distinct().select(*by, "token", F.explode(deletions(F.col("token"), shortest)).alias("k"))
     v = vocabulary.select(*by, "word").distinct().select(*by, "word", F.explode(deletions(F.col("word"), shortest)).alias("k"))
     met = t.join(small_side(v), [*by, "k"]).select(*by, "token", "word").distinct()
 
@@ -136,6 +137,7 @@ def map_models(entries: DataFrame, canon: DataFrame, id_col: str = "entry_id", m
     weighed = ref
     for k, w in idf.items():
         weighed = weighed.join(small_side(w), f"c_{k}")
+    weighed = cut(weighed)
     typed = entries.select(F.col(id_col).alias("id"), F.col(maker_col).alias("maker"), F.col(model_col).alias("model")).where(F.regexp_replace(F.coalesce("model", F.lit("")), r"(?U)\s", "") != "")
     keyed = typed.select("id", maker_key("maker").alias("maker"), mark("model").alias("mark"), plain("model").alias("name"))
     values = cut(keyed.select("maker", "mark", "name").distinct())
@@ -208,7 +210,10 @@ def map_regions(values: DataFrame, canon: DataFrame, id_col: str = "rec_id", val
     # a note in brackets counts where it is a code or a name itself: 'America (US)'
     raw = cut(distinct.select("v", F.posexplode(F.array_distinct(F.concat(split, noted))).alias("k", "s")).select("v", "k", _fold(F.trim(F.col("s"))).alias("token")).where("token != ''"))
     ref_words = ref.select("canon_id", F.col("word").alias("name"), F.explode(F.array_distinct(F.split("word", "[ '.-]+"))).alias("word")).where("word != ''")
-    long_ = ref_words.where(F.length("word") >= shortest)
+    # words with the weight of each and of the whole name; short ones are only known, they weigh nothing
+    idf = ref_words.where(F.length("word") >= shortest).groupBy("word").agg(F.log(F.lit(float(n + 1)) / F.count_distinct("canon_id")).alias("idf"))
+    ref_words = cut(ref_words.join(small_side(idf), "word", "left").withColumn("norm", F.sum("idf").over(Window.partitionBy("canon_id", "name"))))  # the words of one name
+    long_ = ref_words.where("idf is not null")
     words = raw.select("v", "k", "token", F.posexplode(F.split("token", " ")).alias("at", "t")).where("t != ''")
     pieces = words.select("v", F.explode(F.split("t", "['.-]+")).alias("t")).where("t != ''").distinct()
     fixed = cut(repair(pieces.where(F.length("t") >= shortest).select(F.col("t").alias("token")), long_).withColumnRenamed("token", "t"))
@@ -223,16 +228,16 @@ def map_regions(values: DataFrame, canon: DataFrame, id_col: str = "rec_id", val
     as_whole = repair(seg.where(F.length("token") >= shortest).select("token").unionByName(seg.join(small_side(ref.select(F.col("word").alias("token")).distinct()), "token", "left_semi").select("token")), ref)
     by_name = seg.join(as_whole, "token").join(small_side(ref), "word").select("v", "token", "canon_id", (1 - F.col("cost") / F.greatest(F.lit(4.0), F.length("word").cast("double"))).alias("score"))
     # word by word
-    idf = long_.groupBy("word").agg(F.log(F.lit(float(n + 1)) / F.count_distinct("canon_id")).alias("idf"))
-    norms = long_.join(idf, "word").groupBy("canon_id", "name").agg(F.sum("idf").alias("norm"))
     seg_words = seg.select("v", "token", F.explode(F.array_distinct(F.split("token", "[ '.-]+"))).alias("t")).where(F.length("t") >= shortest)
-    weight = fixed.join(idf, "word").groupBy("t").agg(F.max("idf").alias("own"))
-    seg_norm = seg_words.join(weight, "t", "left").groupBy("v", "token").agg(F.sum(F.coalesce("own", F.lit(0.5) * F.log(F.lit(float(n + 1))))).alias("seg_norm"))
+    repaired = cut(fixed.join(small_side(long_), "word").select("t", "canon_id", "name", "word", "norm", "idf", ((1 - F.col("cost") / 4) * F.col("idf")).alias("w")))
+    own = F.coalesce("own", F.lit(0.5) * F.log(F.lit(float(n + 1))))
+    weight = repaired.groupBy("t").agg(F.max("idf").alias("own"))
+    seg_norm = seg_words.join(small_side(weight), "t", "left").groupBy("v", "token").agg(F.sum(own).alias("seg_norm"))
     soft = (
-        seg_words.join(fixed, "t").join(small_side(long_), "word").join(small_side(idf), "word")
-        .groupBy("v", "token", "canon_id", "name", "word").agg(F.max((1 - F.col("cost") / 4) * F.col("idf")).alias("w"))
-        .groupBy("v", "token", "canon_id", "name").agg(F.sum("w").alias("w"))
-        .join(small_side(norms), ["canon_id", "name"]).join(seg_norm, ["v", "token"])
+        seg_words.join(small_side(repaired), "t")
+        .groupBy("v", "token", "canon_id", "name", "norm", "word").agg(F.max("w").alias("w"))
+        .groupBy("v", "token", "canon_id", "name", "norm").agg(F.sum("w").alias("w"))
+        .join(seg_norm, ["v", "token"])
         .select("v", "token", "canon_id", (0.97 * F.col("w") / F.greatest("norm", "seg_norm")).alias("score"))
     )
     scored = by_code.unionByName(by_name).unionByName(soft).groupBy("v", "token", "canon_id").agg(F.max("score").alias("score"))
