@@ -445,13 +445,20 @@ def matched_schema(records: DataFrame, columns: DataFrame, share: float = 0.99)
     """Column -> type of the one table: the narrowest of boolean, bigint, double and string that `share` or more of the column's
     values can be cast to. `columns`: (file_id, key, column)."""
     each = records.select("file_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("texts").alias("text")))).where("text is not null")
-    typed = join_hot(each.select("file_id", "key", number(F.col("text")).alias("x"), F.col("text").isin("Yes", "No").alias("flag")), columns, ["file_id", "key"], by=("x",))
-    can = lambda t: F.count_if(F.expr(f"try_cast(x as {t})").isNotNull()).alias(t)
-    got = typed.groupBy("column").agg(F.count("*").alias("n"), F.count_if("flag").alias("boolean"), can("bigint"), can("double")).collect()
+    # by pattern: a cast that fails costs an exception
+    can = lambda t: F.count_if(F.col("text").rlike(NUMBERS[t])).alias(t)
+    # summed up by file and field before they meet their columns
+    typed = each.groupBy("file_id", "key").agg(F.count("*").alias("n"), F.count_if(F.col("text").isin("Yes", "No")).alias("boolean"), can("bigint"), can("double"))
+    kinds_of = ("n", "boolean", "bigint", "double")
+    got = typed.join(small_side(columns), ["file_id", "key"]).groupBy("column").agg(*[F.sum(k).alias(k) for k in kinds_of]).collect()
     kinds = {r["column"]: next((t for t in ("boolean", "bigint", "double") if r[t] >= share * r.n), "string") for r in got}
     return {r["column"]: kinds.get(r["column"], "string") for r in columns.select("column").distinct().collect()}
 
 
+#: numbers of each type, with or without a unit
+NUMBERS = {"bigint": r"^[+-]?[0-9]{1,18} *[A-Za-z]{0,3}$", "double": r"^[+-]?[0-9]+(?:[.][0-9]+)? *[A-Za-z]{0,3}$"}
+
+
 def number(text: Column) -> Column:
     """A number's text without its unit ('64 kB'); other texts as they are."""
     return F.regexp_replace(text, r"^([+-]?[0-9]+(?:[.][0-9]+)?) *[A-Za-z]{1,3}$", "$1")
@@ -461,7 +468,8 @@ def unify(files: DataFrame, lines: DataFrame, share: float = 0.99) -> DataFrame:
     """All records of all files in one table: (file_id, line_id, the columns of the matched schema by name, extras map).
 
     Fields go by their canonical name in the series, then by `column_names` over all series; a column has the type of
-    `matched_schema`. A value that can't be cast, or a second one for the same column, is kept in `extras` under its own name.
+    `matched_schema`. A value that can't be cast is kept in `extras` under its own name, as are all of a field whose column another
+    field of the same file fills.
     Lines sent twice stay two rows, an empty object is a row of nulls; lines that aren't JSON objects have none. Each record is
     united where it stands: only the list of names is joined to it.
     """
@@ -473,18 +481,17 @@ def unify(files: DataFrame, lines: DataFrame, share: float = 0.99) -> DataFrame:
     chosen = spark.createDataFrame(sorted(column_names(names, named).items()), "canonical string, column string")
     columns = cut(names.join(F.broadcast(chosen), "canonical").select("file_id", "key", "column"))
     kinds = matched_schema(records, columns, share)
-    per_file = columns.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "column"))).alias("at"))
+    # of several fields of one file that are one column the one of that name fills it, else the first
+    first = columns.groupBy("file_id", "column").agg(F.min(F.struct(F.col("key") != F.col("column"), "key")).alias("x")).select("file_id", "column", F.col("x.key").alias("key"))
+    typed = first.join(F.broadcast(spark.createDataFrame(sorted(kinds.items()), "column string, kind string")), "column")
+    per_file = cut(typed.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("column", "kind")))).alias("at")))
     rows = join_hot(records.select("file_id", "line_id", "keys", "texts"), per_file, ["file_id"], "left", by=("line_id",))
-    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]) if kinds else F.create_map().cast("map<string,string>")
-    entry = F.transform(F.arrays_zip("keys", "texts"), lambda x: F.struct((F.col("at")[x["keys"]] != x["keys"]).alias("other"), x["keys"].alias("key"), x["texts"].alias("text"), F.col("at")[x["keys"]].alias("column")))
-    rows = rows.withColumn("entries", F.array_sort(F.filter(entry, lambda x: x["text"].isNotNull())))
-    fits = lambda x: F.when(kind[x["column"]] == "bigint", number(x["text"]).try_cast("bigint").isNotNull()).when(kind[x["column"]] == "double", number(x["text"]).try_cast("double").isNotNull()).when(kind[x["column"]] == "boolean", x["text"].isin("Yes", "No")).otherwise(True)
-    rows = rows.withColumn("good", F.filter("entries", fits))
-    own = F.transform(F.array_distinct(F.transform("good", lambda x: x["column"])), lambda c: F.struct(c.alias("column"), F.element_at(F.filter("good", lambda x: x["column"] == c), 1).alias("x")))
-    rows = rows.withColumn("own", own)
-    taken = F.transform("own", lambda o: o["x"]["key"])
-    extras = F.map_from_entries(F.transform(F.filter("entries", lambda x: ~F.array_contains(taken, x["key"])), lambda x: F.struct(x["key"], x["text"])))
-    rows = rows.select("file_id", "line_id", F.map_from_entries(F.transform("own", lambda o: F.struct(o["column"], o["x"]["text"]))).alias("m"), extras.alias("extras"))
-    value = lambda c, t: F.col("m")[c] if t == "string" else (F.col("m")[c] == "Yes") if t == "boolean" else number(F.col("m")[c]).try_cast(t)
+    held = F.filter(F.arrays_zip("keys", "texts"), lambda x: x["texts"].isNotNull())
+    rows = rows.select("file_id", "line_id", F.transform(held, lambda x: F.struct(x["keys"].alias("key"), x["texts"].alias("text"), F.col("at")[x["keys"]].alias("to"))).alias("entries"))
+    own = F.map_from_entries(F.transform(F.filter("entries", lambda x: x["to"].isNotNull()), lambda x: F.struct(x["to"]["column"], x["text"])))
+    bad = lambda x: F.when(x["to"]["kind"] == "bigint", ~x["text"].rlike(NUMBERS["bigint"])).when(x["to"]["kind"] == "double", ~x["text"].rlike(NUMBERS["double"])).when(x["to"]["kind"] == "boolean", ~x["text"].isin("Yes", "No")).otherwise(x["to"].isNull())
+    extras = F.map_from_entries(F.transform(F.filter("entries", bad), lambda x: F.struct(x["key"], x["text"])))
+    rows = rows.select("file_id", "line_id", own.alias("m"), extras.alias("extras"))
+    value = lambda c, t: F.col("m")[c] if t == "string" else F.when(F.col("m")[c].isin("Yes", "No"), F.col("m")[c] == "Yes") if t == "boolean" else number(F.col("m")[c]).try_cast(t)
     clash = {"file_id", "line_id", "extras"}
     return rows.select("file_id", "line_id", *[value(c, t).alias(c if c.lower() not in clash else f"field_{c}") for c, t in sorted(kinds.items())], "extras")

@@ -214,3 +214,85 @@ def machine_tables(df: DataFrame, id_col: str = "xml_id", xml_col: str = "xml_te
     t = cut(shred(df, id_col, xml_col).where(F.col("path").isin("", *{p for g in MACHINE_PATHS.values() for p in g.values()})))
     slots, devices, ranges = (pivot_group(t, id_col, g, MACHINE_PATHS[g]) for g in (("primary", "secondary"), "device", "range"))
     return {"slots": slots, "devices": devices, "ranges": ranges}
+
+
+class _PathShredder:
+    """Expat handlers for groups that are known by their element paths: every repeated element is a node, what stands below it
+    belongs to it up to the next repeated one."""
+
+    def __init__(self, groups: frozenset[str]):
+        self.groups = groups
+        self.out: list[tuple] = [(0, -1, "", "", 0, None)]
+        #: per open element: (absolute path, node, parent node, group, path below the node, child ordinals, text parts)
+        self.stack: list[tuple] = [("", 0, -1, "", "", {}, [])]
+        self.count = 0
+
+    def start(self, tag: str, attrs: list[str]) -> None:
+        at, node, parent, group, below, seen, _ = self.stack[-1]
+        path = f"{at}/{tag}"
+        n = seen[tag] = seen.get(tag, 0) + 1
+        if path in self.groups:
+            self.count += 1
+            node, parent, group, below = self.count, node, path, ""
+            self.out.append((node, parent, group, "", n, None))
+        else:
+            below = f"{below}/{tag}" if below else tag
+        for i in range(0, len(attrs), 2):
+            self.out.append((node, parent, group, f"{below}/@{attrs[i]}" if below else f"@{attrs[i]}", n, attrs[i + 1]))
+        self.stack.append((path, node, parent, group, below, {}, []))
+
+    def end(self, tag: str) -> None:
+        _, node, parent, group, below, _, text = self.stack.pop()
+        if value := "".join(text).strip():
+            self.out.append((node, parent, group, f"{below}/#" if below else "#", 1, value))
+
+    def chars(self, data: str) -> None:
+        self.stack[-1][6].append(data)
+
+
+def shred_paths(df: DataFrame, id_col: str, xml_col: str, groups: list[str]) -> DataFrame:
+    """Triples of every well-formed record: (id, node_no, parent_no, grp, path, ordinal, value), grouped by the nearest ancestor whose
+    path is one of `groups`; what has none belongs to node 0, the record. Null and broken records give one row of group
+    'malformed'."""
+    id_type, known = df.schema[id_col].dataType.simpleString(), frozenset(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cols = [], [[] for _ in range(6)]
+            for rid, xml in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parser, s = expat.ParserCreate("utf-8"), _PathShredder(known)
+                parser.ordered_attributes = parser.buffer_text = True
+                parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = s.start, s.end, s.chars
+                try:
+                    parser.Parse((xml.as_py() or "").encode("utf-8", "surrogatepass"), True)
+                    rows = s.out
+                except (expat.ExpatError, UnicodeError):
+                    rows = [(0, -1, MALFORMED, "", 0, None)]
+                ids += [rid] * len(rows)
+                for k, c in enumerate(zip(*rows, strict=True)):
+                    cols[k] += c
+            types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "node_no", "parent_no", "grp", "path", "ordinal", "value"])
+
+    schema = f"id {id_type}, node_no int, parent_no int, grp string, path string, ordinal int, value string"
+    return df.select(F.col(id_col).alias("id"), F.col(xml_col).cast("string").alias("xml")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def discovered_tables(df: DataFrame, id_col: str, xml_col: str, limit: int = 1000) -> dict[str, DataFrame]:
+    """One flat table per repeated ancestor path of records whose schema is not known beforehand; '' is the records themselves.
+
+    Rows are (id, node_no, parent_no, one column per path below the node that holds a value); parent_no is the node of the
+    enclosing repeated element. A path met several times below one node gives its first value. Only paths reach the driver:
+    ValueError beyond `limit` of them.
+    """
+    repeated = [r.path for r in repeated_paths(df, id_col, xml_col).where("max_siblings > 1").limit(limit + 1).collect()]
+    triples = cut(shred_paths(df, id_col, xml_col, repeated))
+    held = triples.where("path <> '' and value is not null").select("grp", "path").distinct().limit(limit + 1).collect()
+    if max(len(repeated), len(held)) > limit:
+        raise ValueError(f"more than {limit} paths")
+    out = {}
+    for g in ["", *sorted(repeated)]:
+        paths = sorted(r.path for r in held if r.grp == g)
+        first = [F.min_by("value", F.when(F.col("path") == p, F.col("ordinal"))).alias(p) for p in paths]
+        out[g] = triples.where(F.col("grp") == g).groupBy(id_col, "node_no").agg(F.max("parent_no").alias("parent_no"), *first)
+    return out

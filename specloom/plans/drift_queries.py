@@ -34,5 +34,15 @@ def p4_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.join(devices, ["xml_id", "device_no"]).join(slots, ["xml_id", "slot_node"])
 
 
+def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that the documents' own repeated elements make: rows and columns of each, and rows without a parent row."""
+    tables = nested.discovered_tables(table(spark, sf_dir, "machine_xml"), "xml_id", "xml_text")
+    each = [t.agg(F.lit(g).alias("group_path"), F.count("*").alias("n_rows"), F.lit(len(t.columns)).alias("n_columns"), F.count_if(F.col("parent_no") <= 0).alias("top_rows")) for g, t in tables.items()]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_unified, p4_found, p4_ranges)}
+    return {f.__name__: f for f in (p2_found, p2_unified, p4_found, p4_ranges, p4_tables)}

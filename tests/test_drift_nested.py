@@ -21,6 +21,33 @@ def test_nested_cases(spark):
     assert rep["/r/devices/primary/A/mem"] == 2 and rep["/r/devices"] == 1
 
 
+def test_discovered_tables(spark):
+    one = '<r v="1"><head><name>a</name></head><box n="x"><item k="1">p</item><item k="2"><deep>q</deep></item></box><box n="y"/></r>'
+    df = spark.createDataFrame([(1, one), (2, "<r><head><name>b</name></head><box/></r>"), (3, "<r>"), (4, None)], "xml_id long, xml_text string").withColumn("grp", F.lit("clash"))
+    t = nested.discovered_tables(df, "xml_id", "xml_text")
+    assert set(t) == {"", "/r/box", "/r/box/item"}
+    assert {(r.xml_id, r["r/@v"], r["r/head/name/#"]) for r in t[""].collect()} == {(1, "1", "a"), (2, None, "b")}
+    assert {(r.xml_id, r.node_no, r.parent_no, r["@n"]) for r in t["/r/box"].collect()} == {(1, 1, 0, "x"), (1, 4, 0, "y"), (2, 1, 0, None)}
+    assert {(r.node_no, r.parent_no, r["@k"], r["#"], r["deep/#"]) for r in t["/r/box/item"].collect()} == {(2, 1, "1", "p", None), (3, 1, "2", None, "q")}
+    assert nested.discovered_tables(df.limit(0), "xml_id", "xml_text")[""].count() == 0
+
+
+def test_drift_edges(spark):
+    """Nulls in any column, repeated rows, clashing columns and values of any depth."""
+    deep = {"a": 1}
+    for _ in range(40):
+        deep = {"a": deep}
+    rows = [machine(1, big="x" * 200_000, deep=deep), machine(1, big="x" * 200_000, deep=deep), {}]
+    f, lines = files(spark, [rows, [machine(1, large="x" * 200_000, deep=[deep])], []])
+    odd = spark.createDataFrame([(None, None, "{}"), (None, 1, '{"model": null}'), (7, None, '{"z": 1}')], lines.schema)
+    clash = lambda df: df.withColumn("rec", F.lit(1)).withColumn("key", F.lit("k")).withColumn("kinds", F.lit("x"))
+    got = {tuple(r) for r in drift.changes(clash(f.union(f)), clash(lines.union(odd).union(lines))).collect()}
+    assert (2, "renamed", "big", "large") in got and (2, "retyped", "deep", "deep") in got
+    assert {(k, o) for i, k, o, _ in got if i == 3} == {("removed", x) for x in ("model", "maker", "large", "deep")}
+    same = spark.createDataFrame([(1, 5, None), (2, 5, None), (3, None, 1)], "file_id long, series_id long, file_seq int")
+    assert {tuple(r) for r in drift.steps(same).collect()} == {(2, 1)}
+
+
 def files(spark, versions):
     f = [(k + 1, 1, k + 1) for k in range(len(versions))]
     lines = [(100 * k + i, k + 1, json.dumps(r) if isinstance(r, dict) else r) for k, rows in enumerate(versions) for i, r in enumerate(rows)]

@@ -230,5 +230,12 @@ def test_incremental(spark, tmp_path):
         incremental.follow(spark, str(drop), schema, str(state), str(tmp_path / "ck")).awaitTermination()
     rec, reg, _ = incremental.current(spark, str(state))
     assert {(r.nk, r.year) for r in rec.collect()} == {("a|1", 2), ("b|2", 1), ("c|3", 1)} and {r.nk: r.id for r in reg.collect()} == {"a|1": 1, "b|2": 2, "c|3": 3}
+    # a batch run again changes nothing; generations that nothing names any more go
+    batch = spark.createDataFrame([("A", "1", 9, 9), ("Z", "9", 3, 3)], schema)
+    for n in (5, 5, 6, 7):
+        incremental.absorb(str(state))(batch if n < 7 else batch.limit(0), n)
+    rec, reg, at = incremental.current(spark, str(state))
+    assert at == 6 and {(r.nk, r.year) for r in rec.collect()} == {("a|1", 9), ("b|2", 1), ("c|3", 1), ("z|9", 3)} and {r.nk: r.id for r in reg.collect()}["z|9"] == 4
+    assert len(list(state.glob("manifest-*"))) == 2 and not (state / "registry-0").exists()
     ev = spark.createDataFrame([(1,)], "x int").select(F.timestamp_seconds(F.lit(0)).alias("ts"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"))
     assert incremental.event_windows(ev).first().n == 1
