@@ -64,13 +64,15 @@ def deletions(token: Column, shortest: int = 3) -> Column:
     return F.array_distinct(F.concat(F.array(token), F.when(n >= shortest, gone).otherwise(F.array(token))))
 
 
-def repair(tokens: DataFrame, vocabulary: DataFrame, limit: float = 1.6, shortest: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+def repair(tokens: DataFrame, vocabulary: DataFrame, limit: float = 1.6, shortest: int = 3, by: tuple[str, ...] = (), longest: int | None = None) -> DataFrame:
     """(*by, token, word, cost): each distinct token beside the vocabulary words it may stand for, of the same `by` columns (strings).
 
     Exact words cost 0. Words within one edit beside any look-alikes are found by shared deletions, which is all that a price of
-    `limit` below 2 can pay for; dearer pairs are dropped. Tokens that are longer than any word by more than one letter stand for none.
+    `limit` below 2 can pay for; dearer pairs are dropped. Tokens that are longer than any word by more than one letter stand for none;
+    `longest` is the length of the longest word, if it is known.
     """
-    longest = vocabulary.agg(F.max(F.length("word")).alias("n")).first().n or 0
+    if longest is None:
+        longest = vocabulary.agg(F.max(F.length("word")).alias("n")).first().n or 0
     t = tokens.where(F.length("token") <= longest + 1).select(*by, "token").distinct().select(*by, "token", F.explode(deletions(F.col("token"), shortest)).alias("k"))
     v = vocabulary.select(*by, "word").distinct().select(*by, "word", F.explode(deletions(F.col("word"), shortest)).alias("k"))
     met = t.join(small_side(v), [*by, "k"]).select(*by, "token", "word").distinct()
@@ -132,7 +134,8 @@ def map_models(entries: DataFrame, canon: DataFrame, id_col: str = "entry_id", m
     kinds = ("letters", "number", "suffix")
     ref = canon.select("canon_id", mark("model").alias("mark"), maker_key("manufacturer").alias("c_maker")).where("mark != ''")
     ref = cut(read_marks(ref, 0).select("canon_id", "c_maker", *[F.col(k).alias(f"c_{k}") for k in kinds]))
-    n = max(1, ref.count())
+    size = ref.agg(F.count("*").alias("n"), *[F.max(F.length(f"c_{k}")).alias(k) for k in kinds]).first()
+    n, longest = max(1, size.n), max(size[k] or 0 for k in kinds)
     idf = {k: ref.groupBy(f"c_{k}").agg(F.log(F.lit(float(n + 1)) / F.count("*")).alias(f"w_{k}")) for k in (*kinds, "maker")}
     weighed = ref
     for k, w in idf.items():
@@ -146,7 +149,7 @@ def map_models(entries: DataFrame, canon: DataFrame, id_col: str = "entry_id", m
     tokens, words = each(read, "", "token"), each(ref, "c_", "word")
     listed = words.where("kind = 'suffix'").withColumnRenamed("word", "token")
     # a listed suffix stands for itself; a token of which no letter is right is another one, as is one beside none at all
-    free = repair(tokens.join(small_side(listed), ["kind", "token"], "left_anti"), words, limit, 1, ("kind",))
+    free = repair(tokens.join(small_side(listed), ["kind", "token"], "left_anti"), words, limit, 1, ("kind",), longest)
     free = free.where((F.col("cost") == 0) | (F.col("cost") < F.greatest(F.length("token"), F.length("word"))))
     pairs = cut(free.unionByName(tokens.join(small_side(listed), ["kind", "token"]).select("kind", "token", F.col("token").alias("word"), F.lit(0.0).alias("cost"))))
     fixed = {k: pairs.where(F.col("kind") == k).select(F.col("token").alias(k), F.col("word").alias(f"c_{k}"), F.col("cost").alias(f"cost_{k}")) for k in kinds}
@@ -201,7 +204,8 @@ def map_regions(values: DataFrame, canon: DataFrame, id_col: str = "rec_id", val
     names = F.array_compact(F.array(_fold(F.col("region")), _fold(F.col("local_name"))))
     ref = canon.select(F.col("region_id").alias("canon_id"), F.explode(F.array_distinct(F.concat(names, F.coalesce(other, F.array().cast("array<string>"))))).alias("word"), F.lower("code").alias("code"))
     ref = cut(ref.select("canon_id", "code", _fold(F.col("word")).alias("word")).where("word != ''").distinct())
-    n = max(1, ref.select("canon_id").distinct().count())
+    size = ref.agg(F.count_distinct("canon_id").alias("n"), F.max(F.length("word")).alias("longest")).first()
+    n, longest = max(1, size.n), size.longest or 0
     distinct = cut(values.select(F.col(value_col).alias("v")).where(F.regexp_replace(F.coalesce(F.col(value_col), F.lit("")), r"(?U)\s", "") != "").distinct())
     whole = _fold(F.regexp_replace(F.col("v"), r"^\s*\(([^()]*)\)\s*$", "$1"))
     noted = F.regexp_extract_all(whole, F.lit(r"\(([^()]*)\)"), F.lit(1))
@@ -216,7 +220,7 @@ def map_regions(values: DataFrame, canon: DataFrame, id_col: str = "rec_id", val
     long_ = ref_words.where("idf is not null")
     words = raw.select("v", "k", "token", F.posexplode(F.split("token", " ")).alias("at", "t")).where("t != ''")
     pieces = words.select("v", F.explode(F.split("t", "['.-]+")).alias("t")).where("t != ''").distinct()
-    fixed = cut(repair(pieces.where(F.length("t") >= shortest).select(F.col("t").alias("token")), long_).withColumnRenamed("token", "t"))
+    fixed = cut(repair(pieces.where(F.length("t") >= shortest).select(F.col("t").alias("token")), long_, longest=longest).withColumnRenamed("token", "t"))
     notes = _notes(pieces, ref_words, fixed, note_regions)
     kept = words.join(small_side(notes), "t", "left_anti").groupBy("v", "k").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("ws"))
     seg = kept.select("v", _fold(F.array_join(F.transform("ws", lambda x: x["t"]), " ")).alias("token"))
@@ -225,7 +229,7 @@ def map_regions(values: DataFrame, canon: DataFrame, id_col: str = "rec_id", val
     seg = cut(seg.unionByName(exact).where("token != ''").distinct())
     by_code = seg.join(small_side(ref.select("canon_id", F.col("code").alias("token")).distinct()), "token").select("v", "token", "canon_id", F.lit(1.0).alias("score"))
     # whole parts against whole names
-    as_whole = repair(seg.where(F.length("token") >= shortest).select("token").unionByName(seg.join(small_side(ref.select(F.col("word").alias("token")).distinct()), "token", "left_semi").select("token")), ref)
+    as_whole = repair(seg.where(F.length("token") >= shortest).select("token").unionByName(seg.join(small_side(ref.select(F.col("word").alias("token")).distinct()), "token", "left_semi").select("token")), ref, longest=longest)
     by_name = seg.join(as_whole, "token").join(small_side(ref), "word").select("v", "token", "canon_id", (1 - F.col("cost") / F.greatest(F.lit(4.0), F.length("word").cast("double"))).alias("score"))
     # word by word
     seg_words = seg.select("v", "token", F.explode(F.array_distinct(F.split("token", "[ '.-]+"))).alias("t")).where(F.length("t") >= shortest)
